@@ -35,3 +35,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = count_tokens(docs, tokenizer("piece_bpe_32k.model"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
