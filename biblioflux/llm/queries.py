@@ -57,3 +57,13 @@ def op4_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = shard_groups(docs, ["text_sha"], "size", 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import id_crc
+    from .lang_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (id_crc("doc_id") % 5 == 0).alias("held_out"))
+    model = fit(docs.where("NOT held_out"))
+    return predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
