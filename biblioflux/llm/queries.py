@@ -74,3 +74,12 @@ def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=2)
+
+
+@query
+def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import mark
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = mark(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), (F.size("matches") == 0).alias("kept"))
