@@ -83,3 +83,13 @@ def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = mark(docs, table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), (F.size("matches") == 0).alias("kept"))
+
+
+@query
+def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import id_crc
+    from .lattice_lm import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (id_crc("doc_id") % 7 == 2).alias("held_out"))
+    model = fit(docs.where("NOT held_out"), tokenizer("piece_bpe_32k.model"))
+    return score(docs, model)
