@@ -93,3 +93,20 @@ def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (id_crc("doc_id") % 7 == 2).alias("held_out"))
     model = fit(docs.where("NOT held_out"), tokenizer("piece_bpe_32k.model"))
     return score(docs, model)
+
+
+@query
+def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .outliers import judge
+
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .link_graph import judge_pages
+
+    rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return judge_pages(pages, rules).drop("url")
