@@ -94,3 +94,53 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     # settled: every edge leads from a node to the least node of its component
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | None = None, small: int = 8, leader_rounds: int = 2) -> DataFrame:
+    """Components (node, component) of the links among members of buckets.
+
+    members has key, id, n (a size that `near` compares) and size (members of the bucket); verify takes pairs (a, b) and
+    returns the true ones; near(n, m) says which sizes can be linked at all; first_edges are links known already.
+
+    In buckets of up to `small` members all pairs are verified. In larger ones the members of other components than the
+    leader's are compared with it, for a few rounds of leaders picked by a hash, and whatever pairs of different
+    components remain are verified after that. So a bucket of near copies costs a few comparisons for each member, no
+    bucket meets in one task, and no link between components is left out.
+    """
+    other = members.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), "size").where(F.col("size") <= small).drop("size")
+    few = members.where(F.col("size") <= small).join(other, "key").where(F.col("id") < F.col("id2")).where(near(F.col("n"), F.col("m")))
+    pairs = few.select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    many = members.where(F.col("size") > small).select("key", "id", "n")
+    star = many.join(_leaders(many, "id", 0), "key").where(F.col("id") != F.col("lead")).where(near(F.col("n"), F.col("m")))
+    pairs = pairs.unionByName(star.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))).distinct()
+    edges = materialize(verify(pairs), "edges")
+    if first_edges is not None:
+        edges = edges.unionByName(first_edges)
+    found = materialize(connected_components(edges, "a", "b"), "found")
+    for turn in range(1, leader_rounds + 2):
+        placed = many.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        placed = materialize(placed.join(split, "key", "left_semi"), "open")
+        if placed.isEmpty():
+            break
+        if turn <= leader_rounds:
+            lead = _leaders(placed, "c", turn).withColumnRenamed("c", "c2")
+            close = placed.join(lead, "key").where(F.col("c") != F.col("c2")).where(near(F.col("n"), F.col("m")))
+            pairs = close.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        else:  # the exact rest
+            other = placed.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("c").alias("c2"))
+            close = placed.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2"))).where(near(F.col("n"), F.col("m")))
+            pairs = close.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+        more = materialize(verify(pairs), "edges")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            found = materialize(connected_components(edges, "a", "b"), "found")
+    return found
+
+
+def _leaders(members: DataFrame, by: str, turn: int) -> DataFrame:
+    """A leader for each bucket, picked by a hash of column `by`, with its size m (and component)."""
+    extra = [F.col("c")] if by == "c" else []
+    pick = F.min(F.struct(F.xxhash64(by, F.lit(turn)).alias("h"), F.col("id"), F.col("n"), *extra))
+    lead = members.groupBy("key").agg(pick.alias("p"))
+    return lead.select("key", F.col("p.id").alias("lead"), F.col("p.n").alias("m"), *([F.col("p.c").alias("c")] if extra else []))

@@ -110,3 +110,11 @@ def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return judge_pages(pages, rules).drop("url")
+
+
+@query
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
