@@ -1,16 +1,72 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination and packing of the documents.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of documents; n_chars follows the text. ORACLE_SQL is None: SQL cannot express the stages, so tests hold them against
+brute-force versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from biblioflux.llm.common import id_crc, materialize
+from biblioflux.llm.decontaminate import mark
+from biblioflux.llm.lang_id import fit, predict
+from biblioflux.llm.line_dedup import dedup_lines
+from biblioflux.llm.minhash import near_duplicates
+from biblioflux.llm.packing import pack_documents
+from biblioflux.llm.queries import tokenizer
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents in which no language can be told; learn from the labelled ones outside the held-out fifth."""
+    model = fit(docs.where(id_crc("doc_id") % 5 != 0))
+    scored = predict(docs, model, label="__lang", score="__score")
+    return scored.where("__lang <> 'und'").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one occurrence of each fuzzy line. Documents stay with what is left of their text; those go that lost lines
+    and have no word left."""
+    out = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies (five-word shingles, Jaccard 0.8): the one with the smallest id."""
+    found = near_duplicates(docs, ngram=5, percent=80)
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    marked = mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="__matches")
+    return marked.where(F.size("__matches") == 0).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of at most 2048 tokens."""
+    return pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after the other, on the documents of sf_dir."""
+    """The stages, one after the other, on the documents of sf_dir; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
     return docs
