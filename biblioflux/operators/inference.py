@@ -21,8 +21,8 @@ def pearson(p: DataFrame, row: str = "year", by: list[str] = ()) -> DataFrame:
     t = p.withColumns({
         "r": F.sum("n").over(Window.partitionBy(*by, row)),
         "c": F.sum("n").over(Window.partitionBy(*by, "field")),
-        "N": F.sum("n").over(Window.partitionBy(*key)),
-    }).where("r > 0 AND c > 0").withColumn("e", F.col("r") * F.col("c") / F.col("N"))
+        "grand": F.sum("n").over(Window.partitionBy(*key)),
+    }).where("r > 0 AND c > 0").withColumn("e", F.col("r") * F.col("c") / F.col("grand"))
     diff = F.col("n") - F.col("e")
     out = t.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum(diff * diff / F.col("e")).alias("chi2"), F.countDistinct(row).alias("rows"), F.countDistinct("field").alias("cols"), F.min("e").alias("min_expected")
