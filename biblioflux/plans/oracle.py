@@ -418,4 +418,4 @@ pk AS (SELECT rep, doc_id, lang, row_number() OVER (PARTITION BY rep, lang ORDER
 la AS (SELECT rep, doc_id, lang FROM pk WHERE k <= (SELECT min(c) FROM (SELECT count(*) AS c FROM tw GROUP BY lang))), {share20('la', 'n')}, d AS ({_diff.format('n')})
 SELECT 'de-es' AS pair, {r6('quantile_cont(diff, 0.5)')} AS median, {r6('quantile_cont(diff, 0.025)')} AS low, {r6('quantile_cont(diff, 0.975)')} AS high, {r6('avg(CAST(diff > 0 AS DOUBLE))')} AS share_positive FROM d"""
 
-ORACLE["stream_term_counts"] = "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS freq FROM events GROUP BY ALL"
+ORACLE["stream_term_counts"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS freq FROM events GROUP BY ALL"

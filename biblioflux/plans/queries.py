@@ -606,10 +606,12 @@ def rarefaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..streaming.terms import run_to_memory, windowed_counts
-
     import uuid
 
+    from ..streaming.terms import run_to_memory, windowed_counts
+
     schema = t(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return run_to_memory(windowed_counts(stream, "ts", ["event_type"]), f"events_{uuid.uuid4().hex}")
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = run_to_memory(windowed_counts(stream, "ts", ["event_type"]), f"events_{uuid.uuid4().hex}")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "freq")
