@@ -104,7 +104,6 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFra
 
 def read_csv_any(spark: SparkSession, path: str, encodings: Iterable[str] = ("utf-8", "gb18030", "latin1")) -> DataFrame:
     """A CSV file in the first encoding that decodes its first megabyte."""
-    stream = None
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     status = fs.globStatus(p)
@@ -114,22 +113,31 @@ def read_csv_any(spark: SparkSession, path: str, encodings: Iterable[str] = ("ut
     for stream in encodings:
         try:
             bytes(head)[: len(head) if len(head) < 1 << 20 else -4].decode(stream)
-            return read_csv(spark, path, stream)
+            native = {"utf-8": "utf-8", "latin1": "iso-8859-1", "iso-8859-1": "iso-8859-1"}
+            return read_csv(spark, path, native[stream]) if stream in native else _decoded_csv(spark, path, stream)
         except UnicodeDecodeError:
             continue
     raise UnicodeError(f"{path}: none of the encodings fits")
 
 
-def read_zip_member(spark: SparkSession, path: str, member: str, encoding: str = "utf-8-sig") -> DataFrame:
-    """A CSV member of a zip archive, all columns as text; read where the file lies, then split to rows."""
+def _decoded_csv(spark: SparkSession, path: str, encoding: str, member: str | None = None) -> DataFrame:
+    """CSV that Spark cannot decode or open itself, all columns as text: read whole where it lies, then split to rows."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for raw in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(raw)) as z, z.open(member) as f:
-                    for part in pd.read_csv(f, dtype=str, keep_default_na=False, encoding=encoding, chunksize=5000):
-                        yield pd.DataFrame({"m": [dict(zip(part.columns, r, strict=True)) for r in part.itertuples(index=False)]})
+                data = io.BytesIO(raw)
+                if member is not None:
+                    with zipfile.ZipFile(data) as z:
+                        data = io.BytesIO(z.read(member))
+                for part in pd.read_csv(data, dtype=str, keep_default_na=False, encoding=encoding, chunksize=5000):
+                    yield pd.DataFrame({"m": [dict(zip(part.columns, r, strict=True)) for r in part.itertuples(index=False)]})
 
     maps = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "m map<string,string>")
     columns = [r[0] for r in maps.select(F.explode(F.map_keys("m"))).distinct().collect()]
     return maps.select(*[F.col("m").getItem(c).alias(c) for c in sorted(columns)])
+
+
+def read_zip_member(spark: SparkSession, path: str, member: str, encoding: str = "utf-8-sig") -> DataFrame:
+    """A CSV member of a zip archive, all columns as text."""
+    return _decoded_csv(spark, path, encoding, member)
