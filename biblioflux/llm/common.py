@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
+#: Edge tables of up to so many rows (16 bytes each) are worked on in one task.
+ONE_TASK_EDGES = 300_000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -60,6 +63,12 @@ def _edge_mark(e: DataFrame) -> tuple:
     return r[0], r[1]
 
 
+def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Rows (a, b) for each of the pairs of columns; an explode, which keeps the partitioning, where a union would not."""
+    x = F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs]))
+    return df.select(x.alias("x")).select("x.a", "x.b")
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge table as (node, component), component being the smallest node.
 
@@ -74,16 +83,13 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if mark[0] <= ONE_TASK_EDGES:
+            e = e.coalesce(1)  # of bounded size: one task without shuffles
+        both = _each(e, ("a", "b"), ("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = (
-            small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(low.select("a", F.col("m").alias("b")))
-            .distinct()
-        )
+        small = _each(large.join(low, "a"), ("b", "m"), ("a", "m")).where("a <> b").distinct()
         e = materialize(small, "cc")
         new = _edge_mark(e)
         if new == mark:
@@ -96,23 +102,27 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | None = None, small: int = 8, leader_rounds: int = 2) -> DataFrame:
+def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | None = None, rest=None, small: int = 8, leader_rounds: int = 2) -> DataFrame:
     """Components (node, component) of the links among members of buckets.
 
     members has key, id, n (a size that `near` compares) and size (members of the bucket); verify takes pairs (a, b) and
-    returns the true ones; near(n, m) says which sizes can be linked at all; first_edges are links known already.
-
-    In buckets of up to `small` members all pairs are verified. In larger ones the members of other components than the
-    leader's are compared with it, for a few rounds of leaders picked by a hash, and whatever pairs of different
-    components remain are verified after that. So a bucket of near copies costs a few comparisons for each member, no
-    bucket meets in one task, and no link between components is left out.
+    returns the true ones; near(n, m) says which sizes can be linked at all; first_edges are links known already. rest
+    may find what links are left in another way: it takes the open members (key, id, n, c: the component so far) and
+    returns links, enough of them to join what a bucket's links join, or None to leave it to pairs.
+
+    In buckets of up to `small` members all pairs are verified. In larger ones, members are compared with the bucket's
+    hub: the member that meets most others over all its buckets, as the original of many copies does. What is still in
+    other components is compared with the hub of the rest, then with a member picked by a hash, and whatever pairs of
+    different components remain are verified after that. So a bucket of near copies costs a few comparisons for each
+    member, no bucket meets in one task, and no link between components is left out.
     """
     other = members.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), "size").where(F.col("size") <= small).drop("size")
     few = members.where(F.col("size") <= small).join(other, "key").where(F.col("id") < F.col("id2")).where(near(F.col("n"), F.col("m")))
     pairs = few.select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    many = members.where(F.col("size") > small).select("key", "id", "n")
-    star = many.join(_leaders(many, "id", 0), "key").where(F.col("id") != F.col("lead")).where(near(F.col("n"), F.col("m")))
-    pairs = pairs.unionByName(star.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))).distinct()
+    large = members.where(F.col("size") > small)
+    meets = large.groupBy("id").agg(F.sum("size").alias("meets"))
+    many = materialize(large.join(meets, "id").select("key", "id", "n", "meets"), "many")
+    pairs = materialize(pairs.unionByName(_with_leader(many, _leader(many, "meets"), near)).distinct(), "pairs")
     edges = materialize(verify(pairs), "edges")
     if first_edges is not None:
         edges = edges.unionByName(first_edges)
@@ -123,24 +133,35 @@ def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | Non
         placed = materialize(placed.join(split, "key", "left_semi"), "open")
         if placed.isEmpty():
             break
-        if turn <= leader_rounds:
-            lead = _leaders(placed, "c", turn).withColumnRenamed("c", "c2")
-            close = placed.join(lead, "key").where(F.col("c") != F.col("c2")).where(near(F.col("n"), F.col("m")))
-            pairs = close.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        if turn == 1:
+            hub = _leader(placed, "meets").select("key", F.col("lead_c").alias("hub_c"))
+            others = placed.join(hub, "key").where(F.col("c") != F.col("hub_c"))
+            pairs = _with_leader(placed, _leader(others, "meets"), near)
+        elif turn <= leader_rounds:
+            pairs = _with_leader(placed, _leader(placed.withColumn("h", F.xxhash64("c", F.lit(turn))), "h"), near)
+        elif rest is not None and (more := rest(placed)) is not None:
+            edges = edges.unionByName(materialize(more, "edges"))
+            found = materialize(connected_components(edges, "a", "b"), "found")
+            break
         else:  # the exact rest
             other = placed.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("c").alias("c2"))
             close = placed.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2"))).where(near(F.col("n"), F.col("m")))
-            pairs = close.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-        more = materialize(verify(pairs), "edges")
+            pairs = close.select(F.col("id").alias("a"), F.col("id2").alias("b"))
+        more = materialize(verify(materialize(pairs.distinct(), "pairs")), "edges")
         if not more.isEmpty():
             edges = edges.unionByName(more)
             found = materialize(connected_components(edges, "a", "b"), "found")
     return found
 
 
-def _leaders(members: DataFrame, by: str, turn: int) -> DataFrame:
-    """A leader for each bucket, picked by a hash of column `by`, with its size m (and component)."""
-    extra = [F.col("c")] if by == "c" else []
-    pick = F.min(F.struct(F.xxhash64(by, F.lit(turn)).alias("h"), F.col("id"), F.col("n"), *extra))
-    lead = members.groupBy("key").agg(pick.alias("p"))
-    return lead.select("key", F.col("p.id").alias("lead"), F.col("p.n").alias("m"), *([F.col("p.c").alias("c")] if extra else []))
+def _leader(members: DataFrame, by: str) -> DataFrame:
+    """(key, lead, m, lead_c): the member of each bucket with the largest `by`, ties by id; a partial aggregate."""
+    c = [F.col("c")] if "c" in members.columns else []
+    lead = members.groupBy("key").agg(F.max(F.struct(F.col(by).alias("h"), F.col("id"), F.col("n"), *c)).alias("p"))
+    return lead.select("key", F.col("p.id").alias("lead"), F.col("p.n").alias("m"), *([F.col("p.c").alias("lead_c")] if c else []))
+
+
+def _with_leader(members: DataFrame, lead: DataFrame, near) -> DataFrame:
+    """Pairs (a, b) of members with their bucket's leader, those of its own component left out."""
+    met = members.join(lead, "key").where((F.col("c") != F.col("lead_c")) if "c" in members.columns else (F.col("id") != F.col("lead")))
+    return met.where(near(F.col("n"), F.col("m"))).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
