@@ -16,9 +16,10 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,6 @@ class PieceTable:
     single: np.ndarray
     logp: np.ndarray
     byte_logp: np.ndarray
-    cache: dict = field(default_factory=dict)
 
     @staticmethod
     def load(path: str) -> PieceTable:
@@ -233,9 +233,10 @@ def fit(docs: DataFrame, vocabulary_path: str, text: str = "text", rounds: int =
     return CorpusModel(lexicon, total + train_docs, words + (train_docs > 0), train_docs, once, table)
 
 
-def _hot(counts: DataFrame, limit: int) -> dict[bytes, int]:
-    """The counts of the most frequent words, at most `limit` of them: those over the lowest step of a logarithmic
-    histogram (a few hundred rows) that keeps within it."""
+def _hot(model: CorpusModel, limit: int) -> dict[bytes, tuple[float, float]]:
+    """For the most frequent words, at most `limit` of them, log10 of their count plus one and of their probability.
+    They are those over the lowest step of a logarithmic histogram (a few hundred rows) that keeps within the limit."""
+    counts = model.lexicon
     step = F.floor(F.log2("n") * 8)
     seen, low = 0, None
     for r in counts.groupBy(step.alias("k")).count().orderBy(F.desc("k")).collect():
@@ -246,7 +247,9 @@ def _hot(counts: DataFrame, limit: int) -> dict[bytes, int]:
     if low is None:
         return {}
     top = counts.where(step >= low).toPandas()
-    return dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
+    n = top["n"].to_numpy(float)
+    p = np.log10(n * model.whole_weight + model.spelled_weight * np.exp(top["spelled"].to_numpy()))
+    return dict(zip(map(bytes, top["word"]), zip(np.log10(n + 1).tolist(), p.tolist(), strict=True), strict=True))
 
 
 def score(docs: DataFrame, model: CorpusModel, text: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
@@ -260,37 +263,32 @@ def score(docs: DataFrame, model: CorpusModel, text: str = "text", hot_words: in
     spark = docs.sparkSession
     mine = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in docs.columns if c not in (text, *mine)]
-    shared = spark.sparkContext.broadcast((model.pieces, _hot(model.lexicon, hot_words), model.whole_weight, model.spelled_weight, math.log10(model.end_share)))
+    shared = spark.sparkContext.broadcast((_hot(model, hot_words), math.log10(model.end_share)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        t, hot, whole_weight, spelled_weight, end = shared.value
+        hot, end = shared.value
         uid = TaskContext.get().partitionId() << 40
-        spelled = math.log10(spelled_weight)
-        known = t.cache  # word -> log probability, kept by the worker for the run
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
                 cut = [(x or "").encode("utf-8", "surrogatepass").lower().split() for x in batch.column(0).to_pylist()]
-                new = list({w for words in cut for w in words if w not in known})
-                if len(known) + len(new) > 400_000:
-                    known.clear()
-                    new = list({w for words in cut for w in words})
-                for k in range(0, len(new), 20_000):
-                    known.update(zip(new[k : k + 20_000], _lattice(t, new[k : k + 20_000]).tolist(), strict=True))
                 n_tokens, n_known, base, logp, words_out, tf_out = [], [], [], [], [], []
                 for words in cut:
                     tf = Counter(words)
-                    got = {w: c for w in tf if (c := hot.get(w))}
-                    rest = [w for w in tf if w not in got]
-                    n_tokens.append(len(words) + 1)
-                    n_known.append(sum(tf[w] for w in got))
-                    base.append(sum(tf[w] * math.log10(c + 1) for w, c in got.items()))
-                    p = end + sum(tf[w] * (known[w] / _LN10 + spelled) for w in rest)
-                    logp.append(p + sum(tf[w] * math.log10(c * whole_weight + spelled_weight * math.exp(known[w])) for w, c in got.items()))
-                    words_out.append(rest)
-                    tf_out.append([tf[w] for w in rest])
+                    seen, b, p, rest, rest_tf = 0, 0.0, end, [], []
+                    for w, c in tf.items():
+                        got = hot.get(w)
+                        if got is None:
+                            rest.append(w)
+                            rest_tf.append(c)
+                        else:
+                            seen += c
+                            b += c * got[0]
+                            p += c * got[1]
+                    for to, v in zip((n_tokens, n_known, base, logp, words_out, tf_out), (len(words) + 1, seen, b, p, rest, rest_tf), strict=True):
+                        to.append(v)
                 ids = pa.array(range(uid, uid + len(cut)), pa.int64())
                 uid += len(cut)
                 yield pa.RecordBatch.from_arrays(
@@ -303,10 +301,26 @@ def score(docs: DataFrame, model: CorpusModel, text: str = "text", hot_words: in
     part = materialize(docs.select(text, *kept).mapInArrow(run, schema), "scored")
     rest = part.select("__uid", F.explode(F.arrays_zip("__words", "__tf")).alias("x"))
     rest = rest.select("__uid", F.col("x.__words").alias("word"), F.col("x.__tf").alias("tf"))
-    rest = rest.join(model.lexicon, "word")
-    # what the whole word adds to the paths that spell it
-    more = F.log10(1 + F.col("n") * (model.whole_weight / model.spelled_weight) * F.exp(-F.col("spelled")))
-    rest = rest.groupBy("__uid").agg(F.sum("tf").alias("__k"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("__b"), F.sum(F.col("tf") * more).alias("__m"))
+    # words that training lacks are spelled out here; a null stands for each of the others
+    pieces = spark.sparkContext.broadcast(model.pieces)
+
+    @F.pandas_udf("double")
+    def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for words in batches:
+            new = words.dropna()
+            kinds = list({bytes(w) for w in new})
+            found = dict(zip(kinds, _lattice(pieces.value, kinds).tolist(), strict=True)) if kinds else {}
+            out = pd.Series(np.nan, index=words.index)
+            out[new.index] = [found[bytes(w)] for w in new]
+            yield out
+
+    rest = rest.join(model.lexicon, "word", "left")
+    new = F.col("n").isNull()
+    rest = rest.withColumn("__new", spell(F.when(new, F.col("word"))))
+    p = F.log10(F.coalesce("n", F.lit(0)) * model.whole_weight + F.exp(F.coalesce("spelled", F.lit(0.0))) * model.spelled_weight)
+    spelled = F.col("__new") / _LN10 + math.log10(model.spelled_weight)
+    known = F.when(new, 0).otherwise(F.col("tf"))
+    rest = rest.groupBy("__uid").agg(F.sum(known).alias("__k"), F.sum(known * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("__b"), F.sum(F.col("tf") * F.when(new, spelled).otherwise(p)).alias("__m"))
     out = part.drop("__words", "__tf").join(rest, "__uid", "left")
 
     def log10(x: float) -> Column:
