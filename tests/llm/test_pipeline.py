@@ -21,10 +21,8 @@ def test_pipeline(spark, tmp_path):
         rows.append((i, "\n".join(lines), "en" if i % 2 else "fr", "s"))
     rows += [(50, "1234 5678 !!", "en", "s"), (51, None, "en", "s"), (52, "", None, "s")]
     rows.append((53, rows[1][1], "en", "s"))  # an exact copy: all its lines go
-    near = rows[2][1].split("\n")  # a near copy that shares no whole line: one word in each is another
-    near = "\n".join(" ".join("zz" if k == 0 else w for k, w in enumerate(x.split())) for x in near)
-    rows.append((54, near.replace("\n", " "), "fr", "s"))
-    rows.append((55, near.replace("\n", "  zz "), "fr", "s"))
+    near = prose(rng, 72).split()  # two near copies that share no line
+    rows += [(54 + k, "\n".join(" ".join(near[i : i + n]) for i in range(0, 72, n)), "fr", "s") for k, n in enumerate((17, 11))]
     rows = [(*r, len(r[1]) if r[1] is not None else None) for r in rows]
     spark.createDataFrame(rows, f"{SCHEMA}, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -54,7 +52,7 @@ def test_pipeline(spark, tmp_path):
     assert seen["line_dedup"] == out and 53 not in out
     groups = brute_groups({i: shingles(t, 5) for i, t in out.items()}, 80)
     out = {i: t for i, t in out.items() if groups[i] == i}
-    assert seen["near_dedup"] == out
+    assert seen["near_dedup"] == out and 54 in out and 55 not in out
     norm = lambda t: "".join(c for c in t.lower() if c.isalnum())
     out = {i: t for i, t in out.items() if not any(norm(x) in norm(t) for _, x in items)}
     assert seen["decontaminate"] == out and len(out) < len(seen["near_dedup"])
