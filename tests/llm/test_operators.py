@@ -326,6 +326,25 @@ def test_fuzzy_lines(spark, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_fuzzy_lines_recall(spark):
+    """Against brute force on edit similarity alone: a few words or letters changed."""
+    from biblioflux.llm.line_dedup import dedup_lines
+
+    rng = random.Random(4)
+    pairs = []
+    for n in [8, 12, 20, 30, 50] * 16:
+        w = prose(rng, n).split()
+        x, y = " ".join(w), list(w)
+        for _ in range(max(1, n // 25)):
+            y[rng.randrange(n)] = rng.choice(("zq", "kvv", "wxyz"))
+        k = rng.randrange(len(x))
+        pairs.append((x, rng.choice((" ".join(y), x[:k] + "q" + x[k + rng.randint(0, 1) :]))))
+    pairs = [(x, y) for x, y in pairs if levenshtein(x, y) <= int(max(len(x), len(y)) * 0.1 + 1e-9)]
+    docs = [(i, "\n".join(p), None, None) for i, p in enumerate(pairs)]
+    gone = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert len(pairs) > 50 and sum(gone[i] for i in range(len(pairs))) >= 0.97 * len(pairs)
+
+
 def test_lanes_agree(spark):
     from biblioflux.llm import line_dedup as L
 
