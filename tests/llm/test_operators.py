@@ -327,7 +327,7 @@ def test_fuzzy_lines(spark, empty):
 
 
 def test_fuzzy_lines_recall(spark):
-    """Against brute force on edit similarity alone: a few words or letters changed."""
+    """Against brute force on edit similarity alone: a few words or letters changed, and lines of 10 to 19 characters."""
     from biblioflux.llm.line_dedup import dedup_lines
 
     rng = random.Random(4)
@@ -340,8 +340,13 @@ def test_fuzzy_lines_recall(spark):
         k = rng.randrange(len(x))
         pairs.append((x, rng.choice((" ".join(y), x[:k] + "q" + x[k + rng.randint(0, 1) :]))))
     pairs = [(x, y) for x, y in pairs if levenshtein(x, y) <= int(max(len(x), len(y)) * 0.1 + 1e-9)]
-    docs = [(i, "\n".join(p), None, None) for i, p in enumerate(pairs)]
+    short = []
+    for n in range(10, 20):
+        x = "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+        short += [(x, x[:k] + "z" + x[k + 1 :]) for k in (rng.randrange(n),)] + [(x[::-1], x[::-1][: n - 3] + "z" + x[::-1][n - 3 :])]
+    docs = [(i, "\n".join(p), None, None) for i, p in enumerate(pairs + short)]
     gone = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert all(gone[i] == 1 for i in range(len(pairs), len(docs)))
     assert len(pairs) > 50 and sum(gone[i] for i in range(len(pairs))) >= 0.97 * len(pairs)
 
 
