@@ -53,17 +53,17 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html", site_edge
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, cut_every: int = 5) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, n) and seeds (host, trusted, blocked; shares of at least 0).
 
-    Each column is a personalised PageRank of total at most 1, its restarts dealt by the seeds' shares; trust follows
+    Each column is a personalised PageRank of total at most the sum of its seeds, its restarts dealt by the seeds: it is not
+    divided by that sum, so a host's values depend on the seeds around it and not on the size of the table. Trust follows
     edges, distrust goes against them. What a host without edges would pass on is lost to restarts. Both run in one
     join for each round; lineage is cut every few rounds. Without seeds of a kind, that column is 0.
     """
     both = edges.select(F.lit(0).alias("ch"), "src", "dst", "n").unionByName(edges.select(F.lit(1).alias("ch"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("ch", "src").agg(F.sum("n").alias("all"))
     both = materialize(both.join(out, ["ch", "src"]).select("ch", "src", "dst", (F.col("n") / F.col("all")).alias("w")), "edges")
-    total = seeds.agg(F.sum("trusted"), F.sum("blocked")).first()
     start = None
-    for ch, (c, t) in enumerate(zip(("trusted", "blocked"), total, strict=True)):
-        part = seeds.where(F.col(c) > 0).select(F.lit(ch).alias("ch"), "host", (F.col(c) / float(t or 1)).alias("s"))
+    for ch, c in enumerate(("trusted", "blocked")):
+        part = seeds.where(F.col(c) > 0).select(F.lit(ch).alias("ch"), "host", F.col(c).cast("double").alias("s"))
         start = part if start is None else start.unionByName(part)
     start = materialize(start, "start")
     rank = start.select("ch", "host", F.col("s").alias("r"))
@@ -91,8 +91,8 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
 def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", threshold: float = 1e-4, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """pages without the html, with host, path, rule, verdict (allow or block), trust and distrust.
 
-    The verdict is the fitting rule's. Elsewhere the host is blocked if its distrust is at least `threshold` and more
-    than its trust. Seeds are the hosts of which rules give most pages one verdict, weighed by those pages. A null url, or one
+    The verdict is the fitting rule's. Elsewhere the host is blocked if its distrust is at least `threshold` (on the scale
+    of the seeds, whatever the size of the table) and more than its trust. Seeds are the hosts of which rules give most pages one verdict, weighed by those pages. A null url, or one
     without `://`, has an empty host and path, no seed and no links, and is allowed; a null html has no links. Repeated
     pages count again; columns of these names are replaced, others stay; an empty table gives no rows. A host with a
     third of all pages is summed partially before it moves, and its pages meet its ranks in a join that AQE can split.

@@ -466,3 +466,16 @@ def test_link_graph(spark, empty):
         assert abs(ranks[h][0] - t[i]) < 1e-8 and abs(ranks[h][1] - u[i]) < 1e-8
     assert ranks["d.org"][2] == ("block" if u[3] > t[3] else "allow")
     assert G.judge_pages(pages.limit(0), rules).count() == 0
+
+
+def test_link_graph_verdicts_do_not_depend_on_size(spark):
+    from biblioflux.llm import link_graph as G
+
+    def verdicts(k):
+        i = F.col("id")
+        page = lambda tld, to: F.struct(F.concat(F.lit("http://h"), i, F.lit(f".{tld}/")).alias("url"), F.concat(*[x for t in to for x in (F.lit('<a href="//h'), i, F.lit(f'.{t}/">'))], F.lit("")).alias("html"))
+        pages = spark.range(k).select(F.explode(F.array(page("org", ["net"]), page("net", []), page("com", ["de", "fr"]), page("de", ["net"]), page("fr", []))).alias("p")).select("p.*")
+        out = G.judge_pages(pages, [("net/", "block"), ("com/", "allow")])
+        return {tuple(r) for r in out.select(F.substring_index("host", ".", -1), "verdict").distinct().collect()}
+
+    assert verdicts(1) == verdicts(3000) and ("org", "block") in verdicts(1)
