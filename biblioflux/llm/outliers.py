@@ -22,8 +22,11 @@ H, STEPS, MIN_ROWS = 0.75, 4, 50
 #: Share of clean rows that may lie beyond the limit.
 TAIL = 1e-4
 #: The statistics, and the least spread that each is taken to have: without it, a statistic that is 0 in nearly all rows
-#: would reject every row that has any.
-FLOORS = {"x_word": 0.08, "x_symbol": 0.04, "x_lines": 0.2, "x_repeat": 0.15}
+#: would reject every row that has any. A statistic alone reaches the limit about 4.8 floors from the mean.
+FLOORS = {"x_word": 0.08, "x_symbol": 0.04, "x_lines": 0.1, "x_repeat": 0.1}
+#: Lines and words added to a text's own in the shares of repeated ones, so that one chance repeat in a short text is no
+#: large share: a repeated line, two windows of 8 words.
+EXTRA_LINES, EXTRA_WORDS = 2, 16
 _NAMES = list(FLOORS)
 _WS = " \t\n\x0b\f\r"
 
@@ -92,13 +95,13 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _vector(df: DataFrame) -> DataFrame:
-    """The transformed statistics: log mean word length, root of the symbol share, shares of repeated lines and words."""
+    """The transformed statistics: log mean word length, roots of the shares of symbols, repeated lines and repeated words."""
     n = F.greatest("n_words", F.lit(1))
     return df.withColumns({
         "x_word": F.log(F.greatest("word_chars", F.lit(1)) / n),
         "x_symbol": F.sqrt(F.col("n_symbols") / F.greatest("word_chars", F.lit(1))),
-        "x_lines": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-        "x_repeat": F.col("n_repeat_words") / n,
+        "x_lines": F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + EXTRA_LINES)),
+        "x_repeat": F.sqrt(F.col("n_repeat_words") / (n + EXTRA_WORDS)),
     })
 
 

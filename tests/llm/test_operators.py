@@ -422,6 +422,26 @@ def test_outliers(spark, rows, docs, empty):
     assert abs(O._chi2_tail(O._chi2_point(0.05, 4), 4) - 0.05) < 1e-9 and abs(O._chi2_point(0.05, 4) - 9.487729) < 1e-5
 
 
+def test_outliers_repeated_lines(spark):
+    """In a clean group, half of the lines repeated (short lines, so few words are in repeated windows) is too much; one of
+    twenty is not."""
+    from biblioflux.llm import outliers as O
+
+    rng = random.Random(13)
+    lines = lambda n: [prose(rng, 12) for _ in range(n)]
+    data = [(i, "\n".join(lines(rng.randint(6, 12))), "en", "a") for i in range(150)]
+    for i in range(4):
+        head = [prose(rng, 3) for _ in range(5)]
+        body = [x for k in range(10) for x in (prose(rng, 9), head[k % 5])]
+        data.append((1000 + i, "\n".join(body + [rng.choice(head) for _ in range(10)]), "en", "a"))
+        one = lines(20)
+        data.append((2000 + i, "\n".join([*one, prose(rng, 3), *one[:1]]), "en", "a"))
+    by = {r["doc_id"]: r for r in O.judge(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert not any(by[1000 + i]["base_failed"] or by[2000 + i]["base_failed"] for i in range(4))
+    assert all(2 * by[1000 + i]["n_dup_lines"] >= 15 and not by[1000 + i]["kept"] for i in range(4))
+    assert all(by[i]["kept"] for i in range(150)) and all(by[2000 + i]["kept"] for i in range(4))
+
+
 def test_outlier_estimates_against_numpy(spark):
     from biblioflux.llm import outliers as O
 
