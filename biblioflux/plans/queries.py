@@ -601,6 +601,29 @@ def rarefaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resample.replicate_summary(d, ["pair"], "diff"))
 
 
+def _pair_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, metric, value_a, value_b, diff, winner) of all pairs of languages."""
+    w = concentration.term_weights(_dtm(spark, sf_dir), "doc_id", "lang")
+    metrics = concentration.concentration(w, "doc_id", "lang", doc_counts(spark, sf_dir))
+    out = concentration.compare_pairs(metrics, "lang", concentration.all_pairs(_langs(spark), "lang"))
+    return out.select("a", "b", "metric", "value_a", "value_b", F.round(F.col("value_a") - F.col("value_b"), 12).alias("diff"), "winner")
+
+
+def _draws(spark: SparkSession, sf_dir: str, metrics: list[str], reps: int, seed: int, equal_size: bool = False) -> DataFrame:
+    pairs = [(r["a"], r["b"]) for r in concentration.all_pairs(_langs(spark), "lang").orderBy("a", "b").collect()]  # six
+    return resample.pair_draws(_dtm(spark, sf_dir), t(spark, sf_dir, "documents"), "doc_id", "lang", pairs, metrics, reps, seed, equal_size)
+
+
+@query
+def pair_scan_fast(spark: SparkSession, sf_dir: str, reps: int = 5_000) -> DataFrame:
+    keys = ["a", "b", "metric"]
+    seen = _pair_differences(spark, sf_dir).where("metric = 'top20_share'")
+    p = resample.two_sided_p(seen.select(*keys, "diff"), _draws(spark, sf_dir, ["top20_share"], reps, 20260822), keys, "diff")
+    out = seen.join(p.drop("diff"), keys).withColumn("pair", F.concat_ws("-", "a", "b"))
+    out = multiple.bonferroni(multiple.holm(multiple.benjamini_hochberg(out, "p", "pair"), "p", "pair"), "p")
+    return rounded(out.drop("pair", "metric").withColumn("reps", F.lit(reps)))
+
+
 # streaming ------------------------------------------------------------------------------------------------------------
 
 

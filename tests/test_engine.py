@@ -237,3 +237,34 @@ def test_imports_without_the_optional_package():
         "assert 'classify_tfidf' in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_pair_resampling_over_all_pairs(spark):
+    from biblioflux.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    scan = {(r["a"], r["b"]): r for r in QUERIES["pair_scan_fast"](spark, sf, reps=199).collect()}
+    seen = {(r["a"], r["b"]): r for r in QUERIES["pair_scan_top20"](spark, sf).collect()}
+    assert set(scan) == set(seen) and len(scan) == 6
+    ps = sorted(r["p"] for r in scan.values())
+    for k, r in scan.items():
+        assert abs(r["diff"] - (seen[k]["va"] - seen[k]["vb"])) < 3e-6 and 2 / 200 <= r["p"] <= 1
+        assert r["p"] <= r["q"] + 1e-6 and r["q"] <= r["holm"] + 1e-6 and r["holm"] <= r["bonferroni"] + 1e-6
+        assert abs(r["bonferroni"] - min(1, 6 * r["p"])) < 1e-5
+    assert ps[0] < 2 / 9  # 8 replicates could not go below
+
+
+def test_pair_draws_against_plain_counts(spark):
+    """Two documents: a shuffle keeps or swaps them; equal-size draws of all documents give the observed difference."""
+    from biblioflux.operators import resample
+    from biblioflux.operators.concentration import METRICS
+
+    dtm = spark.createDataFrame([(1, "x", 3), (1, "y", 1), (2, "x", 1), (2, "z", 1)], "doc_id long, term string, tf int")
+    docs = spark.createDataFrame([(1, "de"), (2, "es")], "doc_id long, lang string")
+    h = lambda s: -sum(p * math.log(p) for p in s) / math.log(3)
+    want = {"top10_share": 0, "top20_share": 0, "hhi": 0.625 - 0.5, "norm_entropy": h((0.75, 0.25)) - h((0.5, 0.5)), "max_coverage": 0}
+    shuffled = resample.pair_draws(dtm, docs, "doc_id", "lang", [("de", "es")], METRICS, 60, 1).collect()
+    for m, v in want.items():
+        assert {round(r["diff"], 9) + 0 for r in shuffled if r["metric"] == m} == {round(v, 9) + 0, round(-v, 9) + 0}
+    same = resample.pair_draws(dtm, docs, "doc_id", "lang", [("de", "es")], METRICS, 5, 1, equal_size=True).collect()
+    assert len(same) == 25 and all(abs(r["diff"] - want[r["metric"]]) < 1e-9 for r in same)
