@@ -614,6 +614,14 @@ def _draws(spark: SparkSession, sf_dir: str, metrics: list[str], reps: int, seed
     return resample.pair_draws(_dtm(spark, sf_dir), t(spark, sf_dir, "documents"), "doc_id", "lang", pairs, metrics, reps, seed, equal_size)
 
 
+@query
+def pair_permutation_fast(spark: SparkSession, sf_dir: str, reps: int = 10_000) -> DataFrame:
+    keys = ["a", "b", "metric"]
+    seen = _pair_differences(spark, sf_dir)
+    p = resample.two_sided_p(seen.select(*keys, "diff"), _draws(spark, sf_dir, concentration.METRICS, reps, 20260821), keys, "diff")
+    return rounded(seen.join(p.drop("diff"), keys).withColumn("reps", F.lit(reps)))
+
+
 @query
 def pair_scan_fast(spark: SparkSession, sf_dir: str, reps: int = 5_000) -> DataFrame:
     keys = ["a", "b", "metric"]
@@ -624,6 +632,15 @@ def pair_scan_fast(spark: SparkSession, sf_dir: str, reps: int = 5_000) -> DataF
     return rounded(out.drop("pair", "metric").withColumn("reps", F.lit(reps)))
 
 
+@query
+def rarefaction_fast(spark: SparkSession, sf_dir: str, reps: int = 5_000) -> DataFrame:
+    keys = ["a", "b", "metric"]
+    d = _draws(spark, sf_dir, concentration.METRICS, reps, 20260831, equal_size=True)
+    d = d.withColumn("more_a", F.when(F.col("metric") == "norm_entropy", -F.col("diff")).otherwise(F.col("diff"))).persist()
+    share = resample.replicate_summary(d, keys, "more_a").select(*keys, F.col("share_positive").alias("share_a_more"))
+    return rounded(resample.replicate_summary(d, keys, "diff").drop("share_positive").join(share, keys).withColumn("reps", F.lit(reps)))
+
+
 # streaming ------------------------------------------------------------------------------------------------------------
 
 

@@ -252,6 +252,9 @@ def test_pair_resampling_over_all_pairs(spark):
         assert r["p"] <= r["q"] + 1e-6 and r["q"] <= r["holm"] + 1e-6 and r["holm"] <= r["bonferroni"] + 1e-6
         assert abs(r["bonferroni"] - min(1, 6 * r["p"])) < 1e-5
     assert ps[0] < 2 / 9  # 8 replicates could not go below
+    full = QUERIES["pair_permutation_fast"](spark, sf, reps=40).collect()
+    rare = QUERIES["rarefaction_fast"](spark, sf, reps=40).collect()
+    assert len(full) == len(rare) == 30 and all(r["low"] <= r["median"] <= r["high"] for r in rare)
 
 
 def test_pair_draws_against_plain_counts(spark):
