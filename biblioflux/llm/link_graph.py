@@ -92,7 +92,7 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     """pages without the html, with host, path, rule, verdict (allow or block), trust and distrust.
 
     The verdict is the fitting rule's. Elsewhere the host is blocked if its distrust is at least `threshold` (on the scale
-    of the seeds, whatever the size of the table) and more than its trust. Seeds are the hosts of which rules give most pages one verdict, weighed by those pages. A null url, or one
+    of the seeds, whatever the size of the table) and more than its trust. Each host is a seed of trust and of distrust by the shares of its pages that rules allow and block. A null url, or one
     without `://`, has an empty host and path, no seed and no links, and is allowed; a null html has no links. Repeated
     pages count again; columns of these names are replaced, others stay; an empty table gives no rows. A host with a
     third of all pages is summed partially before it moves, and its pages meet its ranks in a join that AQE can split.
@@ -103,8 +103,7 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     r = matching_rule(F.col("host"), F.col("path"), rules)
     judged = judged.withColumn("__r", r)
     seen = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), *[F.count_if(F.col("__r.verdict") == v).alias(v) for v in ("allow", "block")])
-    most = lambda v: F.when(F.col(v) * 2 > F.col("n"), F.col(v)).otherwise(0)
-    seeds = materialize(seen.select("host", most("allow").alias("trusted"), most("block").alias("blocked")), "seeds")
+    seeds = materialize(seen.select("host", (F.col("allow") / F.col("n")).alias("trusted"), (F.col("block") / F.col("n")).alias("blocked")), "seeds")
     ranks = materialize(propagate(host_edges(pages, url, html), seeds, damping, rounds), "ranks")
     out = judged.join(ranks, "host", "left")
     trust, distrust = (F.round(F.coalesce(c, F.lit(0.0)), 9) for c in ("trust", "distrust"))

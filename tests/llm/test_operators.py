@@ -499,3 +499,13 @@ def test_link_graph_verdicts_do_not_depend_on_size(spark):
         return {tuple(r) for r in out.select(F.substring_index("host", ".", -1), "verdict").distinct().collect()}
 
     assert verdicts(1) == verdicts(3000) and ("org", "block") in verdicts(1)
+
+
+def test_link_graph_seeds_by_share(spark):
+    """Four of ten pages blocked: the host is a seed by that share, and distrust reaches the host that links to it."""
+    from biblioflux.llm import link_graph as G
+
+    rows = [(i, f"http://a.org/{'bad' if i < 4 else 'x'}/{i}", None) for i in range(10)] + [(10, "http://b.org/", '<a href="//a.org/">')]
+    got = {r["page_id"]: r for r in G.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), [("a.org/bad", "block")]).collect()}
+    assert abs(got[9]["distrust"] - 0.4 * 0.15) < 1e-8 and abs(got[10]["distrust"] - 0.4 * 0.15 * 0.85) < 1e-8
+    assert got[10]["verdict"] == "block"
