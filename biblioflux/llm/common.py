@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that the cluster shares, from spark.checkpoint.dir. Where that is unset, a local one on a local master;
+    on any other it raises, as executors would write to disks that the others cannot read."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -30,20 +34,38 @@ def scratch_root(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs only the
-    tasks that read the table. The folder goes when the session's Python ends."""
+    tasks that read the table. release() deletes the folder, else it goes when the session's Python ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tables/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by materialize() that nothing reads any more; and let the driver's JVM collect its garbage, with
+    which the shuffle files of ended queries go."""
+    for df in tables:
+        mine = (df.sparkSession, df._scratch_path)
+        if mine in _made:
+            _made.remove(mine)
+            _delete(*mine)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may have ended before Python
             return
 
@@ -83,14 +105,14 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        if mark[0] <= ONE_TASK_EDGES:
-            e = e.coalesce(1)  # of bounded size: one task without shuffles
-        both = _each(e, ("a", "b"), ("b", "a"))
+        # of bounded size: one task without shuffles
+        both = _each(e.coalesce(1) if mark[0] <= ONE_TASK_EDGES else e, ("a", "b"), ("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = _each(large.join(low, "a"), ("b", "m"), ("a", "m")).where("a <> b").distinct()
-        e = materialize(small, "cc")
+        old, e = e, materialize(small, "cc")
+        release(old)
         new = _edge_mark(e)
         if new == mark:
             break
@@ -102,19 +124,20 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | None = None, rest=None, small: int = 8, leader_rounds: int = 2) -> DataFrame:
+def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | None = None, refine=None, small: int = 8, leader_rounds: int = 2) -> DataFrame:
     """Components (node, component) of the links among members of buckets.
 
     members has key, id, n (a size that `near` compares) and size (members of the bucket); verify takes pairs (a, b) and
-    returns the true ones; near(n, m) says which sizes can be linked at all; first_edges are links known already. rest
-    may find what links are left in another way: it takes the open members (key, id, n, c: the component so far) and
-    returns links, enough of them to join what a bucket's links join, or None to leave it to pairs.
+    returns the true ones; near(n, m) says which sizes can be linked at all; first_edges are links known already.
 
     In buckets of up to `small` members all pairs are verified. In larger ones, members are compared with the bucket's
     hub: the member that meets most others over all its buckets, as the original of many copies does. What is still in
-    other components is compared with the hub of the rest, then with a member picked by a hash, and whatever pairs of
-    different components remain are verified after that. So a bucket of near copies costs a few comparisons for each
-    member, no bucket meets in one task, and no link between components is left out.
+    other components is compared with the hub of the rest, then with a member picked by a hash. So a bucket of near
+    copies costs a few comparisons for each member, and no bucket meets in one task.
+
+    What is open then goes to refine, if given: it takes the open members (key, id, n, c: the component so far, meets)
+    and returns members of finer buckets, which are worked on in the same way. Without refine, whatever pairs of
+    different components remain in a bucket are verified.
     """
     other = members.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), "size").where(F.col("size") <= small).drop("size")
     few = members.where(F.col("size") <= small).join(other, "key").where(F.col("id") < F.col("id2")).where(near(F.col("n"), F.col("m")))
@@ -124,9 +147,10 @@ def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | Non
     many = materialize(large.join(meets, "id").select("key", "id", "n", "meets"), "many")
     pairs = materialize(pairs.unionByName(_with_leader(many, _leader(many, "meets"), near)).distinct(), "pairs")
     edges = materialize(verify(pairs), "edges")
+    release(pairs)
     if first_edges is not None:
         edges = edges.unionByName(first_edges)
-    found = materialize(connected_components(edges, "a", "b"), "found")
+    found = connected_components(edges, "a", "b")
     for turn in range(1, leader_rounds + 2):
         placed = many.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
@@ -139,18 +163,19 @@ def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | Non
             pairs = _with_leader(placed, _leader(others, "meets"), near)
         elif turn <= leader_rounds:
             pairs = _with_leader(placed, _leader(placed.withColumn("h", F.xxhash64("c", F.lit(turn))), "h"), near)
-        elif rest is not None and (more := rest(placed)) is not None:
-            edges = edges.unionByName(materialize(more, "edges"))
-            found = materialize(connected_components(edges, "a", "b"), "found")
-            break
-        else:  # the exact rest
+        elif refine is not None:
+            finer = materialize(refine(placed), "finer")
+            return found if finer.isEmpty() else linked_groups(finer, verify, near, edges, small=small, leader_rounds=leader_rounds)
+        else:
             other = placed.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("c").alias("c2"))
             close = placed.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2"))).where(near(F.col("n"), F.col("m")))
             pairs = close.select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        more = materialize(verify(materialize(pairs.distinct(), "pairs")), "edges")
+        pairs = materialize(pairs.distinct(), "pairs")
+        more = materialize(verify(pairs), "edges")
+        release(pairs, placed)
         if not more.isEmpty():
             edges = edges.unionByName(more)
-            found = materialize(connected_components(edges, "a", "b"), "found")
+            found = connected_components(edges, "a", "b")
     return found
 
 

@@ -264,6 +264,38 @@ def test_near_duplicates(spark, rows, docs, empty):
     assert abs((s[0] == s[1]).mean() - 0.8) < 0.12 and abs((s[0] == s[2]).mean() - 0.5) < 0.15
 
 
+def test_near_duplicates_one_id_with_two_texts(spark):
+    from biblioflux.llm.minhash import near_duplicates
+
+    rng = random.Random(15)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(5, a, None, None), (5, b, None, None), (7, a + " end", None, None), (8, b + " end", None, None), (8, b + " end", None, None), (9, prose(rng, 80), None, None)]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (8, 5, False), (9, 9, True)]
+
+
+def test_near_duplicates_apart_from_the_leader(spark):
+    """A large group whose members are too far from its middle, each with a copy that only the finer buckets join."""
+    from biblioflux.llm.minhash import near_duplicates
+
+    rng = random.Random(16)
+    base = prose(rng, 200).split()
+    rows = [(0, " ".join(base), None, None)]
+    for i in range(1, 150):
+        w = list(base)
+        for k in rng.sample(range(200), 18):
+            w[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(w), None, None))
+        for j in range(i % 3):
+            v = list(w)
+            for k in rng.sample(range(200), 4):
+                v[k] = f"u{i}x{j}x{k}"
+            rows.append((1000 * (j + 1) + i, " ".join(v), None, None))
+    want = brute_groups({i: shingles(t, 2) for i, t, *_ in rows}, 80)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), ngram=2).collect()}
+    assert got == want and len(set(want.values())) > 100
+
+
 def levenshtein(x: str, y: str) -> int:
     p = list(range(len(y) + 1))
     for i, c in enumerate(x, 1):
@@ -275,7 +307,7 @@ def levenshtein(x: str, y: str) -> int:
 
 
 def test_fuzzy_lines(spark, empty):
-    from biblioflux.llm.line_dedup import MAX_BITS, MIN_CHARS, SIMILARITY, dedup_lines, with_simhash
+    from biblioflux.llm.line_dedup import MIN_CHARS, SIMILARITY, dedup_lines
 
     rng = random.Random(9)
     base = [prose(rng, 40) for _ in range(6)]
@@ -296,7 +328,6 @@ def test_fuzzy_lines(spark, empty):
     order = sorted({(i is not None, i or 0, t) for i, t, *_ in rows if t is not None})
     all_lines = [(key, k, x, norm(x)) for key in order for k, x in enumerate(key[2].split("\n"))]
     kinds = sorted({n for *_, n in all_lines if n})
-    sims = {r["norm"]: r["sim"] for r in with_simhash(spark.createDataFrame([(n,) for n in kinds], "norm string")).collect()}
     part = {n: n for n in kinds}
 
     def find(x):
@@ -306,7 +337,7 @@ def test_fuzzy_lines(spark, empty):
 
     for a in kinds:
         for b in kinds:
-            if a < b and min(len(a), len(b)) >= MIN_CHARS and bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") <= MAX_BITS:
+            if a < b and min(len(a), len(b)) >= MIN_CHARS:
                 longest = max(len(a), len(b))
                 if min(len(a), len(b)) >= SIMILARITY * longest and levenshtein(a, b) <= int(longest * (1 - SIMILARITY) + 1e-9):
                     part[find(a)] = find(b)
@@ -326,37 +357,73 @@ def test_fuzzy_lines(spark, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def _edited(rng: random.Random, x: str, n: int) -> str:
+    s = list(x)
+    for _ in range(n):
+        k, op = rng.randrange(len(s)), rng.random()
+        if op < 0.5:
+            s[k] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        elif op < 0.75:
+            s.insert(k, rng.choice("abcdefghijklmnopqrstuvwxyz"))
+        else:
+            del s[k]
+    return " ".join("".join(s).split())
+
+
 def test_fuzzy_lines_recall(spark):
-    """Against brute force on edit similarity alone: a few words or letters changed, and lines of 10 to 19 characters."""
-    from biblioflux.llm.line_dedup import dedup_lines
+    """Keys shared by lines within the edit similarity, which is measured apart: lines of every length with one edit, with
+    words changed, and with letters changed all over."""
+    from biblioflux.llm.line_dedup import SIMILARITY, with_keys
 
     rng = random.Random(4)
     pairs = []
-    for n in [8, 12, 20, 30, 50] * 16:
-        w = prose(rng, n).split()
-        x, y = " ".join(w), list(w)
-        for _ in range(max(1, n // 25)):
-            y[rng.randrange(n)] = rng.choice(("zq", "kvv", "wxyz"))
-        k = rng.randrange(len(x))
-        pairs.append((x, rng.choice((" ".join(y), x[:k] + "q" + x[k + rng.randint(0, 1) :]))))
-    pairs = [(x, y) for x, y in pairs if levenshtein(x, y) <= int(max(len(x), len(y)) * 0.1 + 1e-9)]
-    short = []
-    for n in range(10, 20):
-        x = "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
-        short += [(x, x[:k] + "z" + x[k + 1 :]) for k in (rng.randrange(n),)] + [(x[::-1], x[::-1][: n - 3] + "z" + x[::-1][n - 3 :])]
-    docs = [(i, "\n".join(p), None, None) for i, p in enumerate(pairs + short)]
-    gone = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(docs, SCHEMA)).collect()}
-    assert all(gone[i] == 1 for i in range(len(pairs), len(docs)))
-    assert len(pairs) > 50 and sum(gone[i] for i in range(len(pairs))) >= 0.97 * len(pairs)
-
-
-def test_lanes_agree(spark):
-    from biblioflux.llm import line_dedup as L
-
-    df = spark.createDataFrame([(" ".join(str(k * 7919) for k in range(200)),)], "norm string").withColumn("w", F.split("norm", " "))
-    a = df.select(L._majority(L._lane_sums(F.col("w"), 16), F.size("w"), 16).alias("a"), L._majority(L._lane_sums(F.col("w"), 32), F.size("w"), 32).alias("b"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")).first()
-    bits = [sum((h >> k) & 1 for h in a["h"]) * 2 > len(a["h"]) for k in range(64)]
-    assert a["a"] == a["b"] and [bool((a["a"] >> k) & 1) for k in range(64)] == bits
+    for low, high in ((10, 20), (20, 30), (30, 50), (50, 100), (100, 200), (200, 500)):
+        for _ in range(200):
+            x = prose(rng, high)[: rng.randrange(low, high)].strip()
+            y = x.split()
+            for k in rng.sample(range(len(y)), max(1, len(y) // 20)):
+                y[k] = prose(rng, 1)
+            pairs += [(low, "one", x, _edited(rng, x, 1)), (low, "words", x, " ".join(y)), (low, "all over", x, _edited(rng, x, max(1, len(x) // 50)))]
+    pairs = [p for p in pairs if min(len(p[2]), len(p[3])) >= 10 and p[2] != p[3]]
+    df = spark.createDataFrame(pairs, "low long, kind string, x string, y string")
+    df = df.where(F.levenshtein("x", "y") <= F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - SIMILARITY) + 1e-9))
+    df = df.where("kind <> 'one' OR levenshtein(x, y) = 1")
+    df = with_keys(with_keys(df, "x").withColumnRenamed("keys", "kx"), "y")
+    got = {(r["low"], r["kind"]): r["share"] for r in df.groupBy("low", "kind").agg(F.avg(F.arrays_overlap("kx", "keys").cast("int")).alias("share")).collect()}
+    assert all(got[low, "one"] == 1 for low in (10, 20, 30, 50)) and min(got[100, "one"], got[200, "one"]) >= 0.99, got
+    assert all(got[low, "words"] >= 0.95 and got[low, "all over"] >= 0.9 for low in (30, 50, 100, 200)) and got[20, "words"] >= 0.85, got
+
+
+def test_fuzzy_lines_large_groups(spark):
+    """Large buckets: many lines far from the one in the middle, and copies of these that only finer buckets can find."""
+    from biblioflux.llm.line_dedup import dedup_lines
+
+    rng = random.Random(14)
+    base = prose(rng, 60).split()
+    rows = [(0, " ".join(base), None, None)]
+    for i in range(1, 120):
+        w = list(base)
+        for k in rng.sample(range(60), 10):
+            w[k] = prose(rng, 1)
+        rows.append((i, " ".join(w), None, None))
+        if i % 2:
+            rows.append((1000 + i, _edited(rng, rows[-1][1], 4), None, None))
+    texts = {i: t for i, t, *_ in rows}
+    part = {i: i for i in texts}
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    df = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")
+    pairs = df.join(df.toDF("b", "t"), F.col("doc_id") < F.col("b")).where("levenshtein(text, t) <= int(greatest(length(text), length(t)) * 0.1 + 1e-9)")
+    for r in pairs.collect():
+        x, y = find(r["doc_id"]), find(r["b"])
+        part[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    wrong = [i for i in texts if got[i] != (find(i) != i)]
+    assert len(wrong) <= 2 and sum(got.values()) > 50
 
 
 def test_decontamination(spark, empty):
