@@ -390,7 +390,7 @@ def test_fuzzy_lines_recall(spark):
     df = df.where("kind <> 'one' OR levenshtein(x, y) = 1")
     df = with_keys(with_keys(df, "x").withColumnRenamed("keys", "kx"), "y")
     got = {(r["low"], r["kind"]): r["share"] for r in df.groupBy("low", "kind").agg(F.avg(F.arrays_overlap("kx", "keys").cast("int")).alias("share")).collect()}
-    assert all(got[low, "one"] == 1 for low in (10, 20, 30, 50)) and min(got[100, "one"], got[200, "one"]) >= 0.99, got
+    assert all(got[low, "one"] == 1 for low in (10, 20, 30, 50)) and min(got[100, "one"], got[200, "one"]) >= 0.98, got
     assert all(got[low, "words"] >= 0.95 and got[low, "all over"] >= 0.9 for low in (30, 50, 100, 200)) and got[20, "words"] >= 0.85, got
 
 
