@@ -57,12 +57,13 @@ def words(c: Column) -> Column:
 
 def english_tokens(c: Column, low: int = 2, high: int = 40) -> Column:
     """Runs that consist of a-z only and have low to high letters."""
-    return F.filter(words(c), lambda w: F.rlike(w, F.lit(f"^[a-z]{{{low},{high}}}$")))
+    sign = r"[\p{L}\p{N}_]"
+    return F.regexp_extract_all(F.lower(c), F.lit(f"(?<!{sign})[a-z]{{{low},{high}}}+(?!{sign})"), F.lit(0))
 
 
 def plain_tokens(c: Column) -> Column:
     """Runs of two word characters or more, accents folded."""
-    return F.filter(words(fold(c)), lambda w: F.length(w) >= 2)
+    return F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
 def hyphen_tokens(c: Column) -> Column:
@@ -76,6 +77,19 @@ def cjk_tokens(c: Column) -> Column:
     return F.filter(parts, lambda w: (F.length(w) >= 2) & F.rlike(w, F.lit(r"^[一-龥A-Za-z0-9]+$")) & ~F.rlike(w, F.lit(r"^[0-9]+$")))
 
 
+def max_match_pattern(dictionary: list[str]) -> str:
+    """A pattern that cuts text by forward maximum match: the longest word of the dictionary at each place, else a run of
+    letters and digits of the Latin alphabet, else one character that is no space."""
+    known = sorted({w for w in dictionary if w}, key=lambda w: (-len(w), w))
+    plain = lambda w: "".join(c if c.isalnum() or c == "_" else f"\\{c}" for c in w)
+    return "|".join([*map(plain, known), "[A-Za-z0-9]+", r"[^ \t\r\n]"])
+
+
+def max_match_tokens(c: Column, dictionary: list[str]) -> Column:
+    """Words of text without spaces, by forward maximum match over the caller's dictionary (user words included)."""
+    return F.regexp_extract_all(c, F.lit(max_match_pattern(dictionary)), F.lit(0))
+
+
 def without(tokens: Column, stopwords: list[str]) -> Column:
     """Tokens that are not stopwords."""
     if not stopwords:

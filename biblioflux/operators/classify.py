@@ -28,9 +28,11 @@ def tfidf(tf: DataFrame, doc: str, n_docs: int, max_features: int | None = 30_00
     if max_features is not None:
         stats = stats.orderBy(F.desc("cf"), "term").limit(max_features)
     idf = stats.select("term", (F.ln(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = F.broadcast(idf) if max_features is not None and max_features <= 100_000 else idf  # so many rows at most
     raw = tf.join(idf, "term").select(doc, "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # a document's row holds no more than its distinct terms
+    rows = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("all"))
+    return rows.select(doc, "norm", F.inline("all")).select(doc, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def prototype_scores(weights: DataFrame, doc: str, docs: DataFrame, fields: DataFrame, prototype_ids: DataFrame) -> DataFrame:

@@ -47,6 +47,23 @@ def scopes(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def in_domain_order(df: DataFrame, dim: DataFrame, column: str) -> DataFrame:
-    """Rows in the domain's order, labels that it lacks last, by name."""
-    return df.join(dim.select("idx", F.col("field").alias(column)), column, "left").orderBy(F.coalesce("idx", F.lit(999)), column).drop("idx")
+def period_scopes(df: DataFrame, year: str, last_year: int, name: str) -> DataFrame:
+    """All rows under scope `all`, and those up to last_year under scope `name`."""
+    return scopes({"all": df, name: df.where(F.col(year) <= last_year)})
+
+
+def clear_scope(df: DataFrame, flag: str, name: str = "non_ambiguous") -> DataFrame:
+    """All rows under scope `all`; those without the flag under scope `name`, only if any row has the flag."""
+    flagged = F.broadcast(df.agg(F.max(F.col(flag).cast("int")).alias("__any")).where("__any = 1"))  # one row or none
+    return scopes({"all": df, name: df.where(~F.col(flag)).crossJoin(flagged).drop("__any")})
+
+
+def attach(table: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """table with the columns of other, null where other lacks the key."""
+    return table.join(other, keys, "left")
+
+
+def in_domain_order(df: DataFrame, dim: DataFrame, column: str, position: str | None = None) -> DataFrame:
+    """Rows in the domain's order, labels that it lacks last, by name; with the label's place in the domain, if asked for."""
+    out = df.join(dim.select("idx", F.col("field").alias(column)), column, "left").orderBy(F.col("idx").asc_nulls_last(), column)
+    return out.withColumnRenamed("idx", position) if position else out.drop("idx")

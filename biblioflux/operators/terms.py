@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,8 +29,12 @@ def weighted_term_counts(df: DataFrame, parts: list[tuple[Column, int]]) -> Data
 
 
 def document_terms(df: DataFrame, doc: str, tokens: Column, carry: list[str] = ()) -> DataFrame:
-    """(doc, carry..., term, tf): the sparse document-term matrix as a table."""
-    rows = df.select(doc, *carry, F.explode(tokens).alias("term"))
+    """(doc, carry..., term, tf): the sparse document-term matrix as a table.
+
+    The documents are dealt by id before they are cut, so counts by document and term, and by document alone, need no
+    other shuffle: the texts move once, their many terms do not.
+    """
+    rows = df.repartition(doc).select(doc, *carry, F.explode(tokens).alias("term"))
     return rows.groupBy(doc, *carry, "term").agg(F.count("*").alias("tf"))
 
 
@@ -43,6 +49,23 @@ def frequency_bounds(dtm: DataFrame, n_docs: int, min_df: int = 1, max_share: fl
     return dtm.join(keep, "term", "left_semi")
 
 
+def bounded_frequency(dtm: DataFrame, n_docs: int = 0, min_df: int = 1, max_share: float | None = None) -> DataFrame:
+    """document_frequency() of the terms within the bounds: one pass, nothing is joined back."""
+    out = document_frequency(dtm).where(F.col("df") >= min_df)
+    return out if max_share is None else out.where(F.col("df") <= max_share * n_docs)
+
+
+def word_cloud(counts: DataFrame, least: int = 3, k: int = 120) -> DataFrame:
+    """(term, freq, weight) of the k most frequent terms that occur `least` times or more, weight relative to the first."""
+    top = minimum_frequency(counts, least).orderBy(F.desc("freq"), F.asc("term")).limit(k)
+    return top.crossJoin(F.broadcast(top.agg(F.max("freq").alias("most")))).select("term", "freq", (F.col("freq") / F.col("most")).alias("weight"))  # one row
+
+
+def union_of(*lists: DataFrame) -> DataFrame:
+    """The distinct rows of all lists, by column name."""
+    return reduce(lambda a, b: a.unionByName(b), lists).distinct()
+
+
 def presence(dtm: DataFrame) -> DataFrame:
     return dtm.withColumn("tf", F.lit(1).cast("long"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import MARKERS, PHRASES, SEEDS, SPLIT, STOPWORDS, STRONG, WEAK
+from .queries import LABEL_WORDS, MARKERS, PHRASES, PRIORITIES, SEEDS, SEGMENTS, SPLIT, STOPWORDS, STRONG, WEAK
 
 ORACLE: dict[str, str] = {}
 
@@ -419,3 +419,39 @@ la AS (SELECT rep, doc_id, lang FROM pk WHERE k <= (SELECT min(c) FROM (SELECT c
 SELECT 'de-es' AS pair, {r6('quantile_cont(diff, 0.5)')} AS median, {r6('quantile_cont(diff, 0.025)')} AS low, {r6('quantile_cont(diff, 0.975)')} AS high, {r6('avg(CAST(diff > 0 AS DOUBLE))')} AS share_positive FROM d"""
 
 ORACLE["stream_term_counts"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS freq FROM events GROUP BY ALL"
+
+# word lists, segmentation, projections, scopes, sets, orders
+
+ORACLE["word_cloud"] = f"""WITH {CON}, u AS (SELECT term, count(*) AS freq FROM (SELECT unnest(k) AS term FROM con) GROUP BY term HAVING count(*) >= 3 ORDER BY freq DESC, term LIMIT 120)
+SELECT term, freq, {r6('freq / (SELECT max(freq) FROM u)')} AS weight FROM u"""
+ORACLE["phrase_leaders"] = f"""WITH {CON}, {_gram(2)}, f AS (SELECT * FROM g2 ORDER BY freq DESC, term LIMIT 200)
+SELECT term, freq FROM f WHERE NOT contains(term, 'an') ORDER BY freq DESC, term LIMIT 10"""
+ORACLE["minimum_frequency"] = f"WITH {CON} SELECT term, count(*) AS freq FROM (SELECT unnest(k) AS term FROM con) GROUP BY term HAVING count(*) >= 10"
+ORACLE["hyphen_counts"] = rf"SELECT term, count(*) AS freq FROM (SELECT unnest(regexp_extract_all({FOLD.format('text')}, '[a-z](?:[a-z\-]*)[a-z]')) AS term FROM documents) GROUP BY term"
+ORACLE["cjk_counts"] = f"""SELECT term, count(*) AS freq FROM (SELECT unnest(string_split({squeeze('text')}, ' ')) AS term FROM documents)
+WHERE length(term) >= 2 AND regexp_full_match(term, '[一-龥A-Za-z0-9]+') AND NOT regexp_full_match(term, '[0-9]+') GROUP BY term"""
+_run = "regexp_replace(lower(text), '[^a-z]+', '-', 'g')"
+_cut = "|".join(sorted(SEGMENTS, key=lambda w: (-len(w), w))) + "|[A-Za-z0-9]+|[^ ]"
+ORACLE["max_match_counts"] = f"SELECT term, count(*) AS freq FROM (SELECT unnest(regexp_extract_all({_run}, '{_cut}')) AS term FROM documents) WHERE length(term) <= 12 GROUP BY term"
+ORACLE["registered_segmenter"] = f"SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all({_run}, '{_cut}')) AS word FROM documents) WHERE list_contains({lst(SEGMENTS)}, word) GROUP BY word"
+_wtx = "title || '. ' || title || '. ' || coalesce(source, '') || '. ' || coalesce(source, '') || '. ' || abstract"
+ORACLE["weighted_text_bigrams"] = f"WITH {ART}, w AS (SELECT {tokens(_wtx)} AS k FROM art) SELECT term, count(*) AS freq FROM (SELECT unnest({grams('k', 2)}) AS term FROM w) GROUP BY term"
+_var = {"word": "k", "word_pair": f"list_concat(k, {grams('k', 2)})", "pair": grams("k", 2), "no_label_words": f"list_filter(k, lambda w: NOT list_contains({lst(['english', 'french', 'german', 'spanish', *LABEL_WORDS])}, w))"}
+ORACLE["document_term_variants"] = f"WITH {CON}, x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS variant, doc_id, unnest({e}) AS term FROM con" for n, e in _var.items()) + """)
+SELECT variant, count(DISTINCT term) AS terms, count(DISTINCT (doc_id, term)) AS cells, count(*) AS tokens FROM x GROUP BY variant"""
+ORACLE["renamed_columns"] = "SELECT doc_id, lang AS group_label, source AS journal FROM documents"
+ORACLE["joined_lists"] = rf"""SELECT doc_id, trim(regexp_replace(coalesce(CASE WHEN doc_id % 3 <> 0 THEN lang || '; ;' END, '') || '; ' || coalesce(source, ''), '(;\s*)+', '; ', 'g'), '; ') AS labels FROM documents"""
+ORACLE["text_flags"] = "SELECT doc_id, doc_id % 6 < 3 AS flag FROM documents"
+ORACLE["backfilled_columns"] = "SELECT lang, CAST(NULL AS VARCHAR) AS journal, 0 AS citations, count(*) AS n FROM documents GROUP BY lang"
+ORACLE["outside_labels"] = "SELECT DISTINCT lang FROM documents WHERE lang NOT IN ('en', 'fr')"
+ORACLE["label_union"] = "SELECT label FROM (SELECT lang AS label FROM documents UNION SELECT source FROM documents) WHERE label IS NOT NULL"
+ORACLE["domain_order"] = f"SELECT o_orderpriority AS label, count(*) AS n, CAST(coalesce(list_position({lst(PRIORITIES)}, o_orderpriority) - 1, {len(PRIORITIES)}) AS BIGINT) AS position FROM orders GROUP BY o_orderpriority"
+ORACLE["period_shares"] = f"""WITH r AS (SELECT 'all' AS scope, o_orderpriority AS field FROM orders UNION ALL SELECT 'to_1996', o_orderpriority FROM orders WHERE year(o_orderdate) <= 1996),
+c AS (SELECT scope, field, count(*) AS n FROM r GROUP BY ALL) SELECT scope, field, n, CAST(sum(n) OVER (PARTITION BY scope) AS BIGINT) AS total, {r6('n / sum(n) OVER (PARTITION BY scope)')} AS share FROM c"""
+ORACLE["clear_scope_counts"] = """SELECT 'some' AS "case", 'all' AS scope, lang, count(*) AS n FROM documents GROUP BY lang
+UNION ALL SELECT 'some', 'non_ambiguous', lang, count(*) FROM documents WHERE n_chars >= 200 AND EXISTS (SELECT 1 FROM documents WHERE coalesce(n_chars, 0) < 200) GROUP BY lang
+UNION ALL SELECT 'none', 'all', lang, count(*) FROM documents GROUP BY lang"""
+ORACLE["trend_with_early_share"] = f"""WITH {PANG}, w AS (SELECT grp, field, CAST(sum(n) AS BIGINT) AS n FROM pn GROUP BY ALL)
+SELECT grp, field, n, (SELECT CAST(sum(e.n) AS BIGINT) FROM pn e WHERE e.grp = w.grp AND e.field = w.field AND e.year <= 1994 AND e.field <> '5-LOW') AS n_early FROM w"""
+ORACLE["by_significance"] = f"""WITH {_pp}, {bh()}, z AS (SELECT p_partkey, p, round(q, 9) AS q FROM q)
+SELECT p_partkey, {r6('p')} AS p, {r6('q')} AS q, CAST(row_number() OVER (ORDER BY q, p, p_partkey) AS INTEGER) AS place FROM z"""

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.register import register_lexicon, register_segmenter
 from ..functions.rand import uniform
 from ..operators import clean, concentration, inference, multiple, panel, resample, scans, terms
 from ..operators import classify as cl
+from ..schemas import backfill, domain, outside_domain, require_columns
 from ..sources.readers import parse_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +27,11 @@ STRONG, WEAK, MARKERS = ["thation", "eringth"], ["the", "ing", "tion", "ent", "w
 #: Seed texts of the stand-in fields; the last is the methods field.
 SEEDS = [("English", "the and of that with for this was"), ("French", "les des que pour par sur une dans"), ("German", "der die und ein ist das mit von"), ("Spanish", "los las que del para por con una"), ("Methods", "table figure data model test sample")]
 SPLIT = 1998
+#: A small dictionary for the segmenter, and words that name labels.
+SEGMENTS = ["the", "there", "in", "ing", "tion", "ent", "entation", "er", "and", "on"]
+LABEL_WORDS = ["thation", "eringth"]
+#: Order priorities in their order, the last left out.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
 
 
 def query(f):
@@ -161,7 +168,7 @@ def lemma_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_freq_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = doc_tokens(spark, sf_dir)
     dtm = terms.document_terms(d, "doc_id", F.col("tokens"))
-    return terms.document_frequency(terms.frequency_bounds(dtm, d.count(), 5, 0.85))
+    return terms.bounded_frequency(dtm, d.count(), 5, 0.85)
 
 
 @query
@@ -180,7 +187,7 @@ def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngrams_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = content_tokens(spark, sf_dir)
     dtm = terms.document_terms(d, "doc_id", F.concat(tx.ngrams(F.col("tokens"), 2), tx.ngrams(F.col("tokens"), 3)))
-    return terms.document_frequency(terms.frequency_bounds(dtm, 0, 2, float("inf")))
+    return terms.bounded_frequency(dtm, min_df=2)
 
 
 @query
@@ -260,6 +267,137 @@ def hot_term_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.filtered_top(counts, 200, ~F.col("term").isin(*STOPWORDS), 10)
 
 
+@query
+def word_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(terms.word_cloud(_unigrams(spark, sf_dir)))
+
+
+@query
+def phrase_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.filtered_top(_grams(spark, sf_dir, 2), 200, ~F.contains("term", F.lit("an")), 10)
+
+
+@query
+def minimum_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.minimum_frequency(_unigrams(spark, sf_dir), 10)
+
+
+@query
+def hyphen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.term_counts(t(spark, sf_dir, "documents"), tx.hyphen_tokens(F.col("text")))
+
+
+@query
+def cjk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.term_counts(t(spark, sf_dir, "documents"), tx.cjk_tokens(F.col("text")))
+
+
+@query
+def max_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = F.regexp_replace(F.lower("text"), r"[^a-z]+", "-")
+    return terms.term_counts(t(spark, sf_dir, "documents"), F.filter(tx.max_match_tokens(run, SEGMENTS), lambda w: F.length(w) <= 12))
+
+
+@query
+def registered_segmenter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_segmenter(spark, "cut_words", SEGMENTS)
+    register_lexicon(spark, "segment_words", SEGMENTS)
+    t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"[^a-z]+", "-").alias("text")).createOrReplaceTempView("segment_texts")
+    rows = spark.sql("SELECT explode(words) AS word FROM (SELECT cut_words(text) AS words FROM segment_texts)")
+    return rows.join(F.broadcast(spark.table("segment_words")), "word", "left_semi").groupBy("word").agg(F.count("*").alias("freq"))
+
+
+@query
+def weighted_text_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = articles(spark, sf_dir)
+    text = tx.weighted_text(F.col("Title"), F.col("source"), F.col("Abstract"))
+    return terms.term_counts(a.select(tx.english_tokens(text).alias("k")), tx.ngrams(F.col("k"), 2))
+
+
+@query
+def document_term_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the document-term matrix by variant: words, words and pairs, pairs, words without the labels' own."""
+    d, k = content_tokens(spark, sf_dir), F.col("tokens")
+    variants = {"word": k, "word_pair": F.concat(k, tx.ngrams(k, 2)), "pair": tx.ngrams(k, 2), "no_label_words": tx.without(k, ["english", "french", "german", "spanish", *LABEL_WORDS])}
+    rows = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), v.alias("k")) for n, v in variants.items()])).alias("v"))
+    dtm = terms.document_terms(rows.select("doc_id", F.col("v.variant").alias("variant"), F.col("v.k").alias("k")), "doc_id", F.col("k"), ["variant"])
+    freq = terms.document_frequency(dtm, ["variant"])
+    return freq.groupBy("variant").agg(F.count("*").alias("terms"), F.sum("df").alias("cells"), F.sum("freq").alias("tokens"))
+
+
+# projections, scopes, sets, orders --------------------------------------------------------------------------------------
+
+
+@query
+def renamed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clean.rename_present(t(spark, sf_dir, "documents"), {"lang": "group_label", "source": "journal", "absent": "nowhere"})
+    return require_columns(out, ["group_label", "journal"]).select("doc_id", "group_label", "journal")
+
+
+@query
+def joined_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.when(F.col("doc_id") % 3 != 0, F.concat("lang", F.lit("; ;")))
+    return t(spark, sf_dir, "documents").select("doc_id", tx.join_lists(a, F.col("source")).alias("labels"))
+
+
+@query
+def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.try_element_at(F.array(*[F.lit(w) for w in (" TRUE ", "1", "Yes", "no", "")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return t(spark, sf_dir, "documents").select("doc_id", tx.to_flag(word).alias("flag"))
+
+
+@query
+def backfilled_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = backfill(t(spark, sf_dir, "documents"), {"journal": None, "citations": 0, "lang": None})
+    return d.groupBy("lang", "journal", "citations").agg(F.count("*").alias("n"))
+
+
+@query
+def outside_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outside_domain(t(spark, sf_dir, "documents"), domain(spark, ["en", "fr"], "lang"), "lang")
+
+
+@query
+def label_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = t(spark, sf_dir, "documents")
+    return terms.union_of(d.select(F.col("lang").alias("label")), d.select(F.col("source").alias("label"))).where("label IS NOT NULL")
+
+
+@query
+def domain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))
+    return panel.in_domain_order(counts, domain(spark, PRIORITIES), "label", "position").withColumn("position", F.coalesce(F.col("position"), F.lit(len(PRIORITIES))).cast("long"))
+
+
+@query
+def period_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = panel.period_scopes(orders_rows(spark, sf_dir), "year", 1996, "to_1996")
+    p = both.groupBy("scope", "field").agg(F.count("*").alias("n"))
+    return rounded(panel.shares(p, ["scope"]))
+
+
+@query
+def clear_scope_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = t(spark, sf_dir, "documents").select("doc_id", "lang", (F.coalesce("n_chars", F.lit(0)) < 200).alias("is_ambiguous"))
+    none = d.select("doc_id", "lang", F.lit(False).alias("is_ambiguous"))
+    both = panel.clear_scope(d, "is_ambiguous").withColumn("case", F.lit("some")).unionByName(panel.clear_scope(none, "is_ambiguous").withColumn("case", F.lit("none")))
+    return both.groupBy("case", "scope", "lang").agg(F.count("*").alias("n"))
+
+
+@query
+def trend_with_early_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = order_panel(spark, sf_dir, ["grp"])
+    whole = p.groupBy("grp", "field").agg(F.sum("n").alias("n"))
+    early = p.where((F.col("year") <= 1994) & (F.col("field") != "5-LOW")).groupBy("grp", "field").agg(F.sum("n").alias("n_early"))
+    return panel.attach(whole, early, ["grp", "field"])
+
+
+@query
+def by_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    adjusted = multiple.benjamini_hochberg(_pseudo_p(spark, sf_dir), "p", "p_partkey")
+    return rounded(multiple.by_significance(adjusted.withColumn("q", F.round("q", 9)), "p", "p_partkey", "q").select("p_partkey", "p", "q", "place"))
+
+
 # classification -------------------------------------------------------------------------------------------------------
 
 

@@ -103,21 +103,34 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFra
 
 
 def read_csv_any(spark: SparkSession, path: str, encodings: Iterable[str] = ("utf-8", "gb18030", "latin1")) -> DataFrame:
-    """A CSV file in the first encoding that decodes its first megabyte."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    status = fs.globStatus(p)
-    if not status:
+    """CSV files, each in the first encoding that decodes the whole of it."""
+    tried = list(encodings)
+
+    def first_fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for raw in frame["content"]:
+                fits = [e for e in tried if _decodes(raw, e)]
+                found.append(fits[0] if fits else None)
+            yield pd.DataFrame({"path": frame["path"], "encoding": found})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(first_fit, "path string, encoding string").collect()
+    bad = [r["path"] for r in files if r["encoding"] is None]
+    if bad:
+        raise UnicodeError(f"none of the encodings fits: {', '.join(bad)}")
+    if not files:
         raise FileNotFoundError(path)
-    head = spark.read.format("binaryFile").load(status[0].getPath().toString()).select(F.substring("content", 1, 1 << 20).alias("c")).first()[0]
-    for stream in encodings:
-        try:
-            bytes(head)[: len(head) if len(head) < 1 << 20 else -4].decode(stream)
-            native = {"utf-8": "utf-8", "latin1": "iso-8859-1", "iso-8859-1": "iso-8859-1"}
-            return read_csv(spark, path, native[stream]) if stream in native else _decoded_csv(spark, path, stream)
-        except UnicodeDecodeError:
-            continue
-    raise UnicodeError(f"{path}: none of the encodings fits")
+    native = {"utf-8": "utf-8", "latin1": "iso-8859-1", "iso-8859-1": "iso-8859-1"}
+    parts = [read_csv(spark, r["path"], native[r["encoding"]]) if r["encoding"] in native else _decoded_csv(spark, r["path"], r["encoding"]) for r in files]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def _decodes(raw: bytes, encoding: str) -> bool:
+    try:
+        bytes(raw).decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def _decoded_csv(spark: SparkSession, path: str, encoding: str, member: str | None = None) -> DataFrame:

@@ -37,10 +37,12 @@ def write_metadata(path: str, **facts: object) -> None:
 
 
 def markdown_table(df: DataFrame, max_rows: int = 200) -> str:
-    rows = df.limit(max_rows).collect()
+    """A table as Markdown; a line under it says so if df has more than max_rows rows."""
+    rows = df.limit(max_rows + 1).collect()
+    more = ["", f"Only the first {max_rows} rows are shown."] if len(rows) > max_rows else []
     cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows])
+    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows[:max_rows]] + more)
 
 
 def markdown_report(title: str, sections: Mapping[str, DataFrame | str], notes: str = "") -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], window: str = "1 day", late: str = "2 days", weight: Column | None = None) -> DataFrame:
     """(window_start, keys..., freq): tumbling-window counts of keys; rows later than `late` are left out by the
-    watermark, which also bounds the state."""
+    watermark. It bounds the state in append and update mode; complete mode keeps all windows."""
     w = F.window(time, window)
     counted = stream.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(F.sum(weight if weight is not None else F.lit(1)).cast("long").alias("freq"))
     return counted.select(F.col("w.start").alias("window_start"), *keys, "freq")
@@ -23,6 +23,14 @@ def drop_repeats(stream: DataFrame, time: str, columns: list[str], late: str = "
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(columns)
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Append closed windows to Parquet files over what the source has now; state is bounded by the watermark, and a later
+    run goes on where this one ended. Both folders must be shared by the cluster."""
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a query over what its source has now and return its memory table; for tests and small results."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()

@@ -271,3 +271,46 @@ def test_pair_draws_against_plain_counts(spark):
         assert {round(r["diff"], 9) + 0 for r in shuffled if r["metric"] == m} == {round(v, 9) + 0, round(-v, 9) + 0}
     same = resample.pair_draws(dtm, docs, "doc_id", "lang", [("de", "es")], METRICS, 5, 1, equal_size=True).collect()
     assert len(same) == 25 and all(abs(r["diff"] - want[r["metric"]]) < 1e-9 for r in same)
+
+
+def test_forward_maximum_match(spark):
+    from biblioflux.functions import text as tx
+    from biblioflux.functions.register import register_lexicon, register_segmenter
+
+    words = ["经济", "经济学", "中国经济", "研究", "a+b"]
+    df = spark.createDataFrame([("中国经济学研究 GDP2020", ), ("经济学a+b的", ), ("", ), (None, )], "x string")
+    want = [["中国经济", "学", "研究", "GDP2020"], ["经济学", "a+b", "的"], [], None]
+    assert [r[0] for r in df.select(tx.max_match_tokens(F.col("x"), words)).collect()] == want
+    register_segmenter(spark, "cut_test", words)
+    register_lexicon(spark, "words_test", words)
+    df.createOrReplaceTempView("cut_texts")
+    assert [r[0] for r in spark.sql("SELECT cut_test(x) FROM cut_texts").collect()] == want
+    assert spark.table("words_test").count() == 5
+
+
+def test_command_line(spark, tmp_path):
+    from biblioflux.__main__ import main
+
+    rows = [(2020 + i % 6, "abc"[(i * i + i // 7) % 3]) for i in range(300)]
+    spark.createDataFrame(rows, "year long, field string").write.parquet(f"{tmp_path}/in")
+    main(["trends", "--input", f"{tmp_path}/in", "--output", f"{tmp_path}/out"], spark)
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("place").collect()
+    assert [r["place"] for r in got] == [1, 2, 3] and [r["q"] for r in got] == sorted(r["q"] for r in got)
+
+
+def test_encoding_is_decided_by_whole_files(spark, tmp_path):
+    from biblioflux.sources.readers import read_csv_any
+
+    (tmp_path / "a.csv").write_bytes(b"x,y\n" + b"plain,1\n" * 200_000 + "é,2\n".encode("latin1"))
+    (tmp_path / "b.csv").write_bytes("x,y\né,3\n".encode())
+    got = {tuple(r) for r in read_csv_any(spark, f"{tmp_path}/*.csv", ("utf-8", "latin1")).distinct().collect()}
+    assert got == {("plain", "1"), ("é", "2"), ("é", "3")}
+
+
+def test_stream_to_files(spark, tmp_path):
+    from biblioflux.streaming.terms import run_to_files, windowed_counts
+
+    spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS ts, 'a' AS k UNION ALL SELECT timestamp'2024-01-01 11:00:00', 'a' UNION ALL SELECT timestamp'2024-02-01 00:00:00', 'b'").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, k string").parquet(f"{tmp_path}/in")
+    got = run_to_files(windowed_counts(stream, "ts", ["k"]), f"{tmp_path}/out", f"{tmp_path}/ck").collect()
+    assert [(r["k"], r["freq"]) for r in got] == [("a", 2)]
