@@ -1,7 +1,11 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination and packing of the documents.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
-of documents; n_chars follows the text. ORACLE_SQL is None: SQL cannot express the stages, so tests hold them against
+of documents; n_chars follows the text.
+
+Null, empty and wordless texts go in the first stage, as no language can be told. A null id is kept and linked with nothing;
+rows with one id go together in near_dedup, whichever of their texts is a copy, and equal rows stay together. Ties between
+copies go to the smallest id. An empty table gives an empty result, other columns pass through. ORACLE_SQL is None: SQL cannot express the stages, so tests hold them against
 brute-force versions.
 """
 
