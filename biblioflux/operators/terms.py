@@ -34,7 +34,8 @@ def document_terms(df: DataFrame, doc: str, tokens: Column, carry: list[str] = (
     The documents are dealt by id before they are cut, so counts by document and term, and by document alone, need no
     other shuffle: the texts move once, their many terms do not.
     """
-    rows = df.repartition(doc).select(doc, *carry, F.explode(tokens).alias("term"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a count that is named is not coalesced: texts are small, terms are not
+    rows = df.repartition(parts, doc).select(doc, *carry, F.explode(tokens).alias("term"))
     return rows.groupBy(doc, *carry, "term").agg(F.count("*").alias("tf"))
 
 
