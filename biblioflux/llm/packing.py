@@ -166,71 +166,70 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int, max_steps: int = 4000, patience: int = 12) -> np.ndarray:
+def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """Raise the sum of squared fills until bins empty.
 
     The emptiest bin gives: a document moves to the bin where it fits tightest; or is exchanged for a smaller one of
     another bin; or two are exchanged for one. Each step takes the exchange that moves most, keeps every bin within its
-    capacity and moves tokens to a fuller bin, so the sum of squares rises and the search ends. A bin that cannot give
-    any more is left, and the next emptiest tried, `patience` times in a row.
+    capacity and moves tokens to a bin at least as full, so the sum of squares rises and the search ends: when the
+    number of bins is the least possible, or when a pass over all bins finds no step.
     """
     bins = bins.copy()
     n_bins = int(bins.max()) + 1 if len(bins) else 0
     fill = np.bincount(bins, sizes, n_bins).astype(np.int64)
     least = math.ceil(int(sizes.sum()) / capacity)
-    stuck: set[int] = set()
-    for _ in range(max_steps):
-        used = np.flatnonzero(fill > 0)
-        if len(used) <= least or len(stuck) >= patience:
-            break
-        order = used[np.argsort(fill[used], kind="stable")]
-        giver = next((int(b) for b in order if int(b) not in stuck), None)
-        if giver is None:
-            break
+    stuck, moved = np.zeros(n_bins, bool), False
+    while np.count_nonzero(fill) > least:
+        givers = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
+        if not len(givers):
+            if not moved:
+                break
+            stuck[:], moved = False, False  # what other bins gave may have freed these
+            continue
+        giver = int(givers[np.argmin(fill[givers])])
         own = np.flatnonzero(bins == giver)
-        own = own[np.argsort(-sizes[own], kind="stable")]
         others = np.flatnonzero((bins != giver) & (fill[bins] >= fill[giver]) & (fill[bins] < capacity))
-        step = _step(sizes, bins, fill, capacity, giver, own, others)
+        step = _step(sizes, bins, capacity - fill, own[np.argsort(-sizes[own], kind="stable")], others)
         if step is None:
-            stuck.add(giver)
+            stuck[giver] = True
             continue
         out, into, to = step
         bins[out], bins[into] = to, giver
         d = int(sizes[out].sum()) - int(sizes[into].sum())
         fill[giver] -= d
         fill[to] += d
-        if not fill[giver]:
-            stuck.clear()
+        moved = True
     return np.unique(bins, return_inverse=True)[1]
 
 
-def _step(sizes, bins, fill, capacity, giver, own, others):
-    """(documents that leave, documents that come, the bin), or None."""
+def _step(sizes, bins, gap_of, own, others):
+    """(documents that leave, documents that come, the bin), or None; own is in descending order of size."""
     if not len(others):
         return None
-    gap_of = capacity - fill
     b = np.unique(bins[others])
     gaps = gap_of[b]
+    widest = int(gaps.max())
     for i in own:  # move: the tightest bin
-        fit = gaps >= sizes[i]
-        if fit.any():
+        if sizes[i] <= widest:
+            fit = gaps >= sizes[i]
             return np.array([i]), np.array([], np.int64), int(b[fit][np.argmin(gaps[fit])])
     x, g = sizes[others], gap_of[bins[others]]
-    best, found = 0, None
-    for i in own:  # one for one
-        d = np.where((sizes[i] - x <= g) & (x < sizes[i]), sizes[i] - x, 0)
-        k = int(np.argmax(d))
-        if d[k] > best:
-            best, found = int(d[k]), (np.array([i]), others[[k]], int(bins[others[k]]))
-    if found is None:
-        for j, i in enumerate(own[:40]):  # two for one
-            for i2 in own[j + 1 : 40]:
-                s = sizes[i] + sizes[i2]
-                d = np.where((s - x <= g) & (x < s), s - x, 0)
-                k = int(np.argmax(d))
-                if d[k] > best:
-                    best, found = int(d[k]), (np.array([i, i2]), others[[k]], int(bins[others[k]]))
-    return found
+    reach = np.zeros(int(x.max()) + 1, np.int64)  # the widest gap beside a document of each size
+    np.maximum.at(reach, x, g)
+    comes = np.flatnonzero(reach)
+    upto = comes + reach[comes]
+    alone = np.arange(len(own))[:, None]
+    for leave in (alone, np.stack(np.triu_indices(len(own), 1), axis=1)):  # one for one, two for one
+        if not len(leave):
+            continue
+        leaves, which = np.unique(sizes[own][leave].sum(axis=1), return_inverse=True)
+        fits = (comes < leaves[:, None]) & (leaves[:, None] <= upto)
+        least = np.where(fits.any(axis=1), comes[fits.argmax(axis=1)], leaves)  # the smallest that can come
+        k = int(np.argmax(leaves - least))
+        if leaves[k] > least[k]:
+            into = np.flatnonzero((x == least[k]) & (leaves[k] - x <= g))[0]
+            return own[leave[np.flatnonzero(which == k)[0]]], others[[into]], int(bins[others[into]])
+    return None
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:

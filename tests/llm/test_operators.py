@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -93,6 +94,19 @@ def test_encoder_and_packing(spark, docs, empty):
     first = best_fit_decreasing(sizes, 2048)
     better = local_search(sizes, first, 2048)
     assert np.bincount(better, sizes).max() <= 2048 and better.max() <= first.max()
+    for low, high, n in ((300, 1200, 40), (1, 20, 300), (600, 800, 30)):  # at the end no step is left, or no fewer bins are possible
+        sizes = np.random.default_rng(low).integers(low, high, n)
+        bins = local_search(sizes, best_fit_decreasing(sizes, 2048), 2048)
+        fill = np.bincount(bins, sizes)
+        assert fill.max() <= 2048 and fill.min() > 0
+        if len(fill) > math.ceil(sizes.sum() / 2048):
+            for a in range(len(fill)):
+                mine = [int(x) for x in sizes[bins == a]]
+                leave = mine + [x + y for x, y in itertools.combinations(mine, 2)]
+                for b in set(range(len(fill))) - {a}:
+                    if fill[b] >= fill[a]:
+                        assert fill[b] + min(mine) > 2048
+                        assert not any(0 < s - c <= 2048 - fill[b] for s in leave for c in sizes[bins == b])
     got = pack_documents(docs, BPE, capacity=64, group_rows=20).toPandas()
     ids = {r["doc_id"]: full.encode(r["text"] or "", add_special_tokens=False).ids + [0] for r in docs.collect()}
     assert sum(len(full.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect()) == got.length.sum()
