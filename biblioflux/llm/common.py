@@ -7,15 +7,18 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType
 
 #: Bytes that separate words: space and U+0009 to U+000D, as bytes.split() has them.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
-#: Edge tables of up to so many rows (16 bytes each) are worked on in one task.
-ONE_TASK_EDGES = 300_000
+#: Edge tables of up to so many rows (16 bytes each, or 32) are worked on by the driver.
+DRIVER_EDGES = 300_000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -91,22 +94,45 @@ def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     return df.select(x.alias("x")).select("x.a", "x.b")
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def _components_here(edges: DataFrame) -> pa.Table:
+    """(node, component) of few edges (a, b), by union-find in the driver. Arrow compares bytes and text as Spark does."""
+    t = edges.toArrow()
+    ends = [t.column(c).combine_chunks() for c in ("a", "b")]
+    names = pc.unique(pa.chunked_array(ends))
+    names = names.take(pc.sort_indices(names))
+    part = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while part[x] != x:
+            part[x] = x = part[part[x]]
+        return x
+
+    for x, y in zip(*(pc.index_in(c, names).to_pylist() for c in ends), strict=True):
+        x, y = find(x), find(y)
+        part[max(x, y)] = min(x, y)
+    return pa.table({"node": names, "component": names.take(pa.array([find(x) for x in part], pa.int32()))})
+
+
+def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """Connected components of an undirected edge table as (node, component), component being the smallest node.
 
-    Alternating large-star and small-star rounds: the number of rounds grows with the logarithm of the longest path.
+    Up to `driver_edges` edges between integers, strings or bytes go to the driver, whose table is written for all. For
+    more, alternating large-star and small-star rounds: the number of rounds grows with the logarithm of the longest path.
     Minima are partial aggregates and the joins back to them can be split by AQE, so a node with a third of all edges
     does not meet in one task. Nodes are compared by their own order (integers, strings or structs). Loops and
     repeated edges are allowed; edges with a null end are ignored.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    if isinstance(e.schema["a"].dataType, (BinaryType, IntegerType, LongType, StringType)) and e.schema["a"].dataType == e.schema["b"].dataType and e.count() <= driver_edges:
+        here = _components_here(e)
+        kind = e.schema["a"].dataType.simpleString()
+        return materialize(e.sparkSession.createDataFrame(here, f"node {kind}, component {kind}"), "cc")
     e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     mark = _edge_mark(e)
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        # of bounded size: one task without shuffles
-        both = _each(e.coalesce(1) if mark[0] <= ONE_TASK_EDGES else e, ("a", "b"), ("b", "a"))
+        both = _each(e, ("a", "b"), ("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -135,9 +161,9 @@ def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | Non
     other components is compared with the hub of the rest, then with a member picked by a hash. So a bucket of near
     copies costs a few comparisons for each member, and no bucket meets in one task.
 
-    What is open then goes to refine, if given: it takes the open members (key, id, n, c: the component so far, meets)
-    and returns members of finer buckets, which are worked on in the same way. Without refine, whatever pairs of
-    different components remain in a bucket are verified.
+    Nothing is left out then: all pairs of members of one bucket and of different components are verified that are not
+    ruled out by `near` or, if given, by refine. It takes the open members (key, id, n, c: the component so far, meets)
+    and returns pairs (a, b), with all links among those.
     """
     other = members.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), "size").where(F.col("size") <= small).drop("size")
     few = members.where(F.col("size") <= small).join(other, "key").where(F.col("id") < F.col("id2")).where(near(F.col("n"), F.col("m")))
@@ -164,8 +190,7 @@ def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | Non
         elif turn <= leader_rounds:
             pairs = _with_leader(placed, _leader(placed.withColumn("h", F.xxhash64("c", F.lit(turn))), "h"), near)
         elif refine is not None:
-            finer = materialize(refine(placed), "finer")
-            return found if finer.isEmpty() else linked_groups(finer, verify, near, edges, small=small, leader_rounds=leader_rounds)
+            pairs = refine(placed)
         else:
             other = placed.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("c").alias("c2"))
             close = placed.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2"))).where(near(F.col("n"), F.col("m")))

@@ -6,8 +6,8 @@ share a band are candidates; every link is confirmed on full shingle sets. With
 similarity 0.8 shares no band with probability 3e-6, and less above.
 
 No bucket is gathered in one task: buckets are counted and given leaders by partial aggregates. In small buckets all
-pairs are candidates. In large ones members are compared with a few leaders; those that stay apart meet again in finer
-buckets, made of the shingles in which they differ from their leader, so nothing is capped.
+pairs are candidates. In large ones members are compared with a few leaders; those that stay apart meet again under the
+shingles in which they differ from a leader, by a prefix filter that rules out no link, so nothing is capped.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ BANDS, ROWS = 32, 5
 BATCH_CHARS = 4_000_000
 #: Classes that are candidates are broadcast up to this count (some 50 bytes each), else joined by shuffle.
 BROADCAST_IDS = 400_000
-#: Least differences from a leader that make finer keys, and neighbours in a key.
-APART, APART_WINDOW = 34, 3
 
 
 class Shingler:
@@ -173,23 +171,38 @@ def _sized(spread: DataFrame) -> DataFrame:
     return spread.join(sizes.select("key", "size"), "key")
 
 
-def _finer(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of finer buckets for the open members of large ones.
+def _open_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket in different components, among them all that are linked.
 
-    Let h be a bucket's leader, x and y members and d(x) the shingles in just one of x and h. If x and y are linked and y
-    is not linked with h, d(x) and d(y) have elements in common: without any, no element of d(x) would bring x nearer to y
-    than h is. Each element of d(x) that is not in d(y) takes x away from y, so the common ones are many. Keys are
-    APART_WINDOW neighbours among the APART least hashes of d(x), single ones where d(x) has no more than APART_WINDOW.
+    Let h be the bucket's hub (the most met member of any component in the bucket) and d(x) the shingles in just one of x
+    and h. Of two members in different components, and not both linked with h, one, x, is not linked with h. The pair
+    (x, y) is linked if d(x) and d(y) differ in no more than D = (|x| + |y|) (100 - percent) / (100 + percent) elements,
+    that is if they share o = (|d(x)| + |d(y)| - D) / 2 or more. As |d(x)| is above the limit of its own pair with h, o is
+    above 0, and above (|d(y)| + (|h| - |y|) (100 - percent) / (100 + percent)) / 2. So, in any fixed order, one of the
+    first |d| - o + 1 elements of each is common. Shingles that h does not have come first, as the rarer ones.
     """
-    lead = placed.groupBy("key").agg(F.max(F.struct("meets", "id")).alias("p")).select("key", F.col("p.id").alias("hub"))
-    met = placed.join(lead, "key").where("id <> hub").groupBy("id", "hub").agg(F.min("n").alias("n"))
+    hubs = placed.groupBy("c").agg(F.max(F.struct("meets", "id", "n")).alias("p"))
+    lead = placed.join(hubs, "c").groupBy("key").agg(F.max(F.struct("p.meets", "p.id", "p.n", "c")).alias("p"))
+    lead = lead.select("key", F.col("p.id").alias("hub"), F.col("p.n").alias("nh"), F.col("p.c").alias("hub_c"))
+    met = placed.join(lead, "key").where("id <> hub").select("id", "n", "c", "hub", "nh", "hub_c").distinct()
     both = met.join(sets.select("id", F.col("set").alias("x")), "id").join(sets.select(F.col("id").alias("hub"), F.col("set").alias("h")), "hub")
-    mixed = lambda a, b: F.transform(F.array_except(a, b), lambda v: F.xxhash64(v))
-    d = both.select("id", "n", "hub", F.slice(F.array_sort(F.concat(mixed("x", "h"), mixed("h", "x"))), 1, APART).alias("d"))
-    last = F.size("d") - APART_WINDOW
-    keys = F.when(last > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64("hub", *[F.get("d", i + k) for k in range(APART_WINDOW)])))
-    keys = keys.otherwise(F.transform("d", lambda v: F.xxhash64("hub", v)))
-    return _sized(d.select("id", "n", F.explode(keys).alias("key")).distinct())
+    ordered = lambda a, b: F.array_sort(F.transform(F.array_except(a, b), lambda v: F.xxhash64("hub", v)))
+    far, near = 100 - percent, 100 + percent
+    d = both.withColumn("d", F.concat(ordered("x", "h"), ordered("h", "x"))).withColumn("nd", F.size("d").cast("long")).drop("x", "h")
+    d = d.withColumn("apart", (F.col("c") != F.col("hub_c")) & (F.col("nd") * near > (F.col("n") + F.col("nh")) * far))
+    most = F.floor(F.col("n") * far / percent)
+    half = F.floor((F.col("nd") * near + (F.col("nh") - F.col("n")) * far) / (2 * near))
+    d = d.withColumn("p", F.col("nd") - F.greatest(F.lit(1), F.col("nd") - most, half) + 1)
+    d = d.withColumn("q", F.when(F.col("apart"), F.col("nd") - F.greatest(F.lit(1), F.col("nd") - most) + 1).otherwise(0))
+    d = materialize(d.withColumn("d", F.slice("d", F.lit(1), F.greatest("p", "q").cast("int"))), "apart")
+    keys = d.select("id", "n", "nd", "c", "p", "q", F.posexplode("d").alias("i", "key"))
+    x = keys.where("i < q").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("nd").alias("da"), F.col("c").alias("ca"), F.col("i").alias("ia"))
+    y = keys.where("i < p").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("nd").alias("db"), F.col("c").alias("cb"), F.col("i").alias("ib"))
+    o = F.floor((F.col("da") + F.col("db") - F.floor((F.col("na") + F.col("nb")) * far / near) + 1) / 2)
+    met = (F.col("ca") != F.col("cb")) & _near_sizes(F.col("na"), F.col("nb"), percent) & (F.col("ia") <= F.col("da") - o) & (F.col("ib") <= F.col("db") - o)
+    pairs = x.join(y, "key").where(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    own = d.where((F.col("c") != F.col("hub_c")) & ~F.col("apart")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    return pairs.unionByName(own)
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -220,7 +233,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_id:
     sets = materialize(sets if several.isEmpty() else sets.dropDuplicates(["id"]), "sets")
 
     own = full.join(several.where("lo <> hi"), "doc_id").where("set_key <> lo").select(F.col("lo").alias("a"), F.col("set_key").alias("b"))
-    found = linked_groups(members, lambda pairs: _verified(pairs, sets, percent), lambda n, m: _near_sizes(n, m, percent), own.distinct(), refine=lambda placed: _finer(placed, sets))
+    found = linked_groups(members, lambda pairs: _verified(pairs, sets, percent), lambda n, m: _near_sizes(n, m, percent), own.distinct(), refine=lambda placed: _open_pairs(placed, sets, percent))
     part = classes.join(found.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
     part = materialize(part.select("set_key", "rep", F.coalesce("component", "set_key").alias("c")), "part")
     least = part.groupBy("c").agg(F.min("rep").alias("component"))

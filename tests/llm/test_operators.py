@@ -59,7 +59,14 @@ def test_components(spark):
         if a is not None and a != b:
             x, y = find(a), find(b)
             part[max(x, y)] = min(x, y)
-    assert got == {x: find(x) for x in list(part)}
+    want = {x: find(x) for x in list(part)}
+    assert got == want
+    df = spark.createDataFrame(edges, "x long, y long")
+    for kind, limit in (("long", 0), ("string", 0), ("string", 1000), ("binary", 1000)):
+        same = df.select(*[F.lpad(F.col(c).cast("string"), 4, "0").cast(kind).alias(c) for c in ("x", "y")])
+        rows = connected_components(same, "x", "y", driver_edges=limit).collect()
+        assert len(rows) == len(want) and {int(bytes(r[0]) if kind == "binary" else r[0]): int(bytes(r[1]) if kind == "binary" else r[1]) for r in rows} == want
+    assert connected_components(df.where("x < 0"), "x", "y").count() == 0
 
 
 def test_token_counts_match_the_library(spark, docs, empty):
@@ -310,6 +317,32 @@ def test_near_duplicates_apart_from_the_leader(spark):
     assert got == want and len(set(want.values())) > 100
 
 
+def test_near_duplicates_in_one_bucket(spark, monkeypatch):
+    """One bucket of all documents: links just at the threshold, between members that no leader links, are found there."""
+    from biblioflux.llm import minhash
+
+    rng = random.Random(18)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(0, " ".join(base), None, None)] + [(2000 + i, " ".join(base) + f" end{i}", None, None) for i in range(10)]
+    for i in range(1, 50):
+        at = [k + 1 for k in rng.sample(range(0, 196, 2), 17)]
+        w = base[:199]
+        for k in at[:12]:
+            w[k] = f"v{i}x{k}"
+        v = list(w)
+        for k in at[:6]:
+            v[k] = base[k]
+        for k in at[12:]:
+            v[k] = f"u{i}x{k}"
+        rows += [(i, " ".join(w), None, None), (1000 + i, " ".join(v), None, None)]
+    sketch, key = minhash.sketch, lambda k: F.lit(k).cast("long")
+    # the base and its copies are in a second bucket, so that one of them is the leader of the first
+    monkeypatch.setattr(minhash, "sketch", lambda *a: sketch(*a).withColumn("bands", F.when(F.col("n_shingles") < 199, F.array(key(0))).otherwise(F.array(key(0), key(1)))))
+    want = brute_groups({i: shingles(t, 2) for i, t, *_ in rows}, 80)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), ngram=2).collect()}
+    assert len(set(want.values())) == 50 and got == want
+
+
 def levenshtein(x: str, y: str) -> int:
     p = list(range(len(y) + 1))
     for i, c in enumerate(x, 1):
