@@ -37,6 +37,8 @@ LONG_LINE = 600
 MIN_CHARS = 10
 #: Longest lines with keys of left out characters, and with keys of halves.
 MAX_DELETES, MAX_HALVES = 21, 120
+#: Letters that are counted to rule out pairs.
+LETTERS = "etaoinshrdlucm"
 #: Ids of candidates are broadcast up to this count (some 50 bytes each), else joined by shuffle.
 BROADCAST_IDS = 400_000
 
@@ -106,30 +108,40 @@ def _sized(spread: DataFrame) -> DataFrame:
     return members.join(sizes, "key")
 
 
-def _similar(x: str, y: str) -> Column:
+def _coded(c: str) -> Column:
+    """A normalised line with each word as one character (of 20,000), for lines that can meet one of LONG_LINE characters."""
+    code = F.array_join(F.transform(F.split(c, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00), 4, "0")), "")
+    return F.when(F.length(c) >= int(LONG_LINE * SIMILARITY), F.decode(F.unhex(code), "UTF-16BE"))
+
+
+def _similar(x: str, y: str, coded_x: str, coded_y: str) -> Column:
     """Whether two normalised lines have the edit similarity. Of lines from LONG_LINE characters on each word stands as one
-    character (of 20,000), as the time grows with the square of the length."""
-    longest = F.greatest(F.length(x), F.length(y))
-    coded = lambda c: F.decode(F.unhex(F.array_join(F.transform(F.split(c, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00), 4, "0")), "")), "UTF-16BE")
-    a, b = (F.when(longest >= LONG_LINE, coded(c)).otherwise(F.col(c)) for c in (x, y))
-    size = F.when(longest >= LONG_LINE, F.greatest(F.size(F.split(x, " ")), F.size(F.split(y, " ")))).otherwise(longest)
-    limit = F.floor(size * (1 - SIMILARITY) + 1e-9).cast("int")
+    character, as the time grows with the square of the length."""
+    long = F.greatest(F.length(x), F.length(y)) >= LONG_LINE
+    a, b = (F.when(long, F.col(w)).otherwise(F.col(c)) for c, w in ((x, coded_x), (y, coded_y)))
+    limit = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - SIMILARITY) + 1e-9).cast("int")
     return F.call_function("levenshtein", a, b, limit) >= 0
 
 
-def _finer(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members of finer buckets for those that their bucket's hub did not link: keys are windows over the runs in which a
-    member and the hub differ. Two lines that are nearer to one another than to the hub share most of these."""
-    lead = placed.groupBy("key").agg(F.max(F.struct("meets", "id")).alias("p")).select("key", F.col("p.id").alias("hub"))
-    met = placed.join(lead, "key").where("id <> hub").groupBy("id", "hub").agg(F.min("n").alias("n"))
-    runs = texts.select("h", _run_hashes(F.col("norm")).alias("r"))
-    both = met.join(runs.select(F.col("h").alias("id"), F.col("r").alias("rx")), "id").join(runs.select(F.col("h").alias("hub"), F.col("r").alias("rh")), "hub")
-    new = F.array_except("rx", "rh")
-    gone = F.transform(F.array_except("rh", "rx"), lambda x: F.xxhash64(F.lit("gone"), x))
-    apart = both.select("id", "n", "hub", F.sort_array(F.concat(new, gone)).alias("d"))
-    keys = F.concat(_windows(F.slice("d", 1, 16), WINDOW, 4), F.when(F.size("d") <= 12, _windows(F.col("d"), 2, 5)).otherwise(F.array().cast("array<bigint>")))
-    spread = apart.select(F.col("id"), "n", F.explode(keys).alias("key"), "hub").select(F.xxhash64("key", "hub").alias("key"), "id", "n")
-    return _sized(spread)
+def _open_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one bucket in different components, but for those that lengths and letters rule out: an edit
+    takes one character of a kind away, adds one, or both, so neither the missing nor the added ones of all kinds can be more
+    than the edits. From LONG_LINE characters on, where edits are counted in words, lengths alone decide, as in _near. One
+    member of such a pair is outside the bucket's largest component."""
+    count = [(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(c), F.lit("")))).alias(f"l_{c}") for c in LETTERS]
+    letters = texts.join(placed.select(F.col("id").alias("h")).distinct(), "h", "left_semi").select(F.col("h").alias("id"), *count)
+    letters = letters.withColumn("l_rest", sum(F.col(f"l_{c}") for c in LETTERS))
+    main = placed.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("p"))
+    x = placed.select("key", "id", "n", "c").join(letters, "id").join(main.select("key", (F.col("p.c")).alias("main")), "key")
+    x = materialize(x.withColumn("l_rest", F.col("n") - F.col("l_rest")).withColumn("out", F.col("c") != F.col("main")).drop("main"), "apart")
+    y = x.select("key", *[F.col(c).alias(f"{c}_2") for c in x.columns if c != "key"])
+    longest = F.greatest("n", "n_2")
+    # the missing and the added ones together, and the difference of the two
+    twice = sum((F.abs(F.col(c) - F.col(f"{c}_2")) for c in letters.columns if c != "id"), F.abs(F.col("n") - F.col("n_2")))
+    possible = (longest >= LONG_LINE) | (twice <= 2 * F.floor(longest * (1 - SIMILARITY) + 1e-9))
+    once = ~F.col("out_2") | (F.col("id") < F.col("id_2"))
+    met = x.where("out").join(y, "key").where((F.col("c") != F.col("c_2")) & once & _near(F.col("n"), F.col("n_2")) & possible)
+    return met.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,13 +153,14 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     ids = materialize(members.select(F.col("id").alias("h")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = _lines(docs, doc_id, text).select("h", "norm").join(F.broadcast(ids) if few else ids, "h", "left_semi")
-    texts = materialize(texts.groupBy("h").agg(F.min("norm").alias("norm")), "texts")
+    texts = materialize(texts.groupBy("h").agg(F.min("norm").alias("norm")).withColumn("coded", _coded("norm")), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("norm").alias("tb")), "b")
-        return both.where(_similar("ta", "tb")).select("a", "b")
+        side = lambda k: texts.select(F.col("h").alias(k), F.col("norm").alias(f"t{k}"), F.col("coded").alias(f"w{k}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.where(_similar("ta", "tb", "wa", "wb")).select("a", "b")
 
-    groups = linked_groups(members, verify, _near, refine=lambda placed: _finer(placed, texts), small=3, leader_rounds=1)
+    groups = linked_groups(members, verify, _near, refine=lambda placed: _open_pairs(placed, texts), small=3, leader_rounds=1)
     kinds = lines.groupBy("h").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "row", "line")).alias("first"))
     kinds = kinds.join(groups.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("g", F.coalesce("component", "h"))
     kinds = materialize(kinds.select("h", "g", "count", "first"), "kinds")

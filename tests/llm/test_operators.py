@@ -473,6 +473,22 @@ def test_fuzzy_lines_large_groups(spark):
     assert len(wrong) <= 2 and sum(got.values()) > 50
 
 
+def test_fuzzy_lines_in_one_bucket(spark, monkeypatch):
+    """One bucket of all lines: pairs within the similarity with edits all over, which share few runs, are found there."""
+    from biblioflux.llm import line_dedup
+
+    rng = random.Random(19)
+    rows = []
+    for i in range(30):
+        x = prose(rng, 20 + i)
+        rows += [(i, x, None, None), (1000 + i, _edited(rng, x, len(x) // 11), None, None)]
+    assert all(levenshtein(a[1], b[1]) <= int(max(len(a[1]), len(b[1])) * 0.1 + 1e-9) for a, b in zip(rows[::2], rows[1::2], strict=True))
+    keys = line_dedup.with_keys
+    monkeypatch.setattr(line_dedup, "with_keys", lambda *a: keys(*a).withColumn("keys", F.array(F.lit(0).cast("long"))))
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: int(i >= 1000) for i, *_ in rows}
+
+
 def test_decontamination(spark, empty):
     from biblioflux.llm import decontaminate as D
 
