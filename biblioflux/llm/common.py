@@ -150,7 +150,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60,
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | None = None, refine=None, small: int = 8, leader_rounds: int = 2) -> DataFrame:
+def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | None = None, refine=None, small: int = 8, leader_rounds: int = 2, samples: int = 0) -> DataFrame:
     """Components (node, component) of the links among members of buckets.
 
     members has key, id, n (a size that `near` compares) and size (members of the bucket); verify takes pairs (a, b) and
@@ -158,7 +158,8 @@ def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | Non
 
     In buckets of up to `small` members all pairs are verified. In larger ones, members are compared with the bucket's
     hub: the member that meets most others over all its buckets, as the original of many copies does. What is still in
-    other components is compared with the hub of the rest, then with a member picked by a hash. So a bucket of near
+    other components is compared with the hub of the rest, then with a member picked by a hash; then, if `samples` is
+    given, what is outside the bucket's largest component with so many members picked by hashes. So a bucket of near
     copies costs a few comparisons for each member, and no bucket meets in one task.
 
     Nothing is left out then: all pairs of members of one bucket and of different components are verified that are not
@@ -177,7 +178,7 @@ def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | Non
     if first_edges is not None:
         edges = edges.unionByName(first_edges)
     found = connected_components(edges, "a", "b")
-    for turn in range(1, leader_rounds + 2):
+    for turn in range(1, leader_rounds + (3 if samples else 2)):
         placed = many.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         placed = materialize(placed.join(split, "key", "left_semi"), "open")
@@ -189,6 +190,8 @@ def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | Non
             pairs = _with_leader(placed, _leader(others, "meets"), near)
         elif turn <= leader_rounds:
             pairs = _with_leader(placed, _leader(placed.withColumn("h", F.xxhash64("c", F.lit(turn))), "h"), near)
+        elif samples and turn == leader_rounds + 1:
+            pairs = _with_samples(placed, samples, near)
         elif refine is not None:
             pairs = refine(placed)
         else:
@@ -211,6 +214,23 @@ def _leader(members: DataFrame, by: str) -> DataFrame:
     return lead.select("key", F.col("p.id").alias("lead"), F.col("p.n").alias("m"), *([F.col("p.c").alias("lead_c")] if c else []))
 
 
+def main_component(placed: DataFrame) -> DataFrame:
+    """(key, main): the component with most members in each bucket, ties by the component; partial aggregates."""
+    main = placed.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("p"))
+    return main.select("key", F.col("p.c").alias("main"))
+
+
+def _with_samples(placed: DataFrame, samples: int, near) -> DataFrame:
+    """Pairs (a, b) of members outside their bucket's largest component with members of other components, picked by hashes."""
+    member = F.struct("id", "n", "c")
+    picked = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), member.alias("x"))).alias(f"p{k}") for k in range(samples)]
+    picked = placed.groupBy("key").agg(*picked).select("key", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.x") for k in range(samples)]))).alias("x"))
+    picked = picked.select("key", F.col("x.id").alias("id2"), F.col("x.n").alias("m"), F.col("x.c").alias("c2"))
+    out = placed.join(main_component(placed), "key").where("c <> main").select("key", "id", "n", "c")
+    met = out.join(picked, "key").where("c <> c2").where(near(F.col("n"), F.col("m")))
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+
+
 def _with_leader(members: DataFrame, lead: DataFrame, near) -> DataFrame:
     """Pairs (a, b) of members with their bucket's leader, those of its own component left out."""
     met = members.join(lead, "key").where((F.col("c") != F.col("lead_c")) if "c" in members.columns else (F.col("id") != F.col("lead")))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import linked_groups, materialize, release
+from .common import linked_groups, main_component, materialize, release
 
 #: Characters of a run in lines whose words are longer than this on average.
 RUN, LONG_WORD = 8, 12
@@ -37,6 +37,8 @@ LONG_LINE = 600
 MIN_CHARS = 10
 #: Longest lines with keys of left out characters, and with keys of halves.
 MAX_DELETES, MAX_HALVES = 21, 120
+#: Members of a large bucket, drawn by hash, with which what stands apart is compared before all pairs are.
+SAMPLES = 16
 #: Letters that are counted to rule out pairs.
 LETTERS = "etaoinshrdlucm"
 #: Ids of candidates are broadcast up to this count (some 50 bytes each), else joined by shuffle.
@@ -58,7 +60,7 @@ def _run_hashes(norm: Column) -> Column:
     within = F.regexp_extract_all(norm, F.lit(rf"(?s)(?:(?<![^ ])|(?<=[^ ]{{{RUN}}}))(?=([^ ].{{0,{RUN - 1}}}))"), F.lit(1))
 
     def runs(words: Column) -> Column:
-        by_word = F.transform(words, lambda w, i: F.xxhash64(w, F.left(F.get(words, i + 1), F.lit(3))))
+        by_word = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda w, after: F.xxhash64(w, F.substring(after, 1, 3)))
         return F.when(F.length(norm) > LONG_WORD * F.size(words), F.transform(within, lambda x: F.xxhash64(x))).otherwise(by_word)
 
     return F.sort_array(F.array_distinct(_let(F.split(norm, " "), runs)))
@@ -100,12 +102,12 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _sized(spread: DataFrame) -> DataFrame:
-    """The members (key, id, n) of buckets that hold different ids, once each, with the bucket's size."""
-    part = F.hash("id")
-    buckets = spread.groupBy("key").agg(F.min(part).alias("lo"), F.max(part).alias("hi")).where("lo <> hi").select("key")
-    members = materialize(spread.join(buckets, "key", "left_semi").distinct(), "members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    return members.join(sizes, "key")
+    """The members (key, id, n) of buckets that hold several ids, with the bucket's size; spread has each member once. The
+    counts and the join read one and the same shuffle of spread, so both need all its columns: no n is below MIN_CHARS."""
+    spread = spread.repartition("key")
+    buckets = spread.groupBy("key").agg(F.count("id").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("n").alias("least"))
+    buckets = buckets.where((F.col("lo") != F.col("hi")) & (F.col("least") >= MIN_CHARS)).select("key", "size")
+    return spread.join(buckets.hint("shuffle_hash"), "key")
 
 
 def _coded(c: str) -> Column:
@@ -131,8 +133,7 @@ def _open_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
     count = [(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(c), F.lit("")))).alias(f"l_{c}") for c in LETTERS]
     letters = texts.join(placed.select(F.col("id").alias("h")).distinct(), "h", "left_semi").select(F.col("h").alias("id"), *count)
     letters = letters.withColumn("l_rest", sum(F.col(f"l_{c}") for c in LETTERS))
-    main = placed.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("p"))
-    x = placed.select("key", "id", "n", "c").join(letters, "id").join(main.select("key", (F.col("p.c")).alias("main")), "key")
+    x = placed.select("key", "id", "n", "c").join(letters, "id").join(main_component(placed), "key")
     x = materialize(x.withColumn("l_rest", F.col("n") - F.col("l_rest")).withColumn("out", F.col("c") != F.col("main")).drop("main"), "apart")
     y = x.select("key", *[F.col(c).alias(f"{c}_2") for c in x.columns if c != "key"])
     longest = F.greatest("n", "n_2")
@@ -146,10 +147,10 @@ def _open_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row, line) of all lines but the first occurrence of each group."""
-    lines = with_keys(_lines(docs, doc_id, text)).select("doc_id", "row", "line", "h", "keys", F.length("norm").alias("n"))
+    lines = with_keys(_lines(docs, doc_id, text)).select("doc_id", "row", "line", "h", F.array_distinct("keys").alias("keys"), F.length("norm").alias("n"))
     lines = materialize(lines, "lines")
-    spread = lines.where(F.col("n") >= MIN_CHARS).select(F.col("h").alias("id"), "n", F.explode("keys").alias("key"))
-    members = materialize(_sized(spread), "members")
+    once = lines.where(F.col("n") >= MIN_CHARS).select(F.col("h").alias("id"), "n", "keys").dropDuplicates(["id"])
+    members = materialize(_sized(once.select("id", "n", F.explode("keys").alias("key"))), "members")
     ids = materialize(members.select(F.col("id").alias("h")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = _lines(docs, doc_id, text).select("h", "norm").join(F.broadcast(ids) if few else ids, "h", "left_semi")
@@ -160,7 +161,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.where(_similar("ta", "tb", "wa", "wb")).select("a", "b")
 
-    groups = linked_groups(members, verify, _near, refine=lambda placed: _open_pairs(placed, texts), small=3, leader_rounds=1)
+    groups = linked_groups(members, verify, _near, refine=lambda placed: _open_pairs(placed, texts), small=3, leader_rounds=1, samples=SAMPLES)
     kinds = lines.groupBy("h").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "row", "line")).alias("first"))
     kinds = kinds.join(groups.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("g", F.coalesce("component", "h"))
     kinds = materialize(kinds.select("h", "g", "count", "first"), "kinds")
@@ -190,7 +191,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     gone = removed_lines(docs, doc_id, text).groupBy("doc_id", "row").agg(F.collect_set("line").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__gone")
     hashed = docs.withColumn("__h", F.xxhash64(text))
-    out = hashed.join(gone, F.col("__id").eqNullSafe(F.col(doc_id)) & (F.col("__row") == F.col("__h")), "left")
+    out = hashed.join(gone.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col(doc_id)) & (F.col("__row") == F.col("__h")), "left")
     lines = F.split(text, "\n")
     out = out.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
     out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))

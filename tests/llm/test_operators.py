@@ -489,6 +489,28 @@ def test_fuzzy_lines_in_one_bucket(spark, monkeypatch):
     assert got == {i: int(i >= 1000) for i, *_ in rows}
 
 
+def test_fuzzy_lines_families_in_one_bucket(spark, monkeypatch):
+    """One bucket of several families of near copies: few of all their pairs are left for the last, exact step."""
+    from biblioflux.llm import line_dedup
+
+    rng = random.Random(20)
+    rows = []
+    for f in range(5):
+        x = prose(rng, 20)
+        copies = {x} | {_edited(rng, x, 1) for _ in range(50)}
+        rows += [(1000 * f + i, y, None, None) for i, y in enumerate(sorted(copies))]
+    keys, open_pairs, left = line_dedup.with_keys, line_dedup._open_pairs, []
+    monkeypatch.setattr(line_dedup, "with_keys", lambda *a: keys(*a).withColumn("keys", F.array(F.lit(0).cast("long"))))
+
+    def counted(*a):
+        left.append((out := open_pairs(*a)).count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_open_pairs", counted)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: int(i % 1000 > 0) for i, *_ in rows} and sum(left) < 500, left
+
+
 def test_decontamination(spark, empty):
     from biblioflux.llm import decontaminate as D
 
