@@ -150,7 +150,9 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     lines = with_keys(_lines(docs, doc_id, text)).select("doc_id", "row", "line", "h", F.array_distinct("keys").alias("keys"), F.length("norm").alias("n"))
     lines = materialize(lines, "lines")
     once = lines.where(F.col("n") >= MIN_CHARS).select(F.col("h").alias("id"), "n", "keys").dropDuplicates(["id"])
+    once = materialize(once, "once")  # with a shuffle before its own, that of the keys would not be read twice
     members = materialize(_sized(once.select("id", "n", F.explode("keys").alias("key"))), "members")
+    release(once)
     ids = materialize(members.select(F.col("id").alias("h")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = _lines(docs, doc_id, text).select("h", "norm").join(F.broadcast(ids) if few else ids, "h", "left_semi")
