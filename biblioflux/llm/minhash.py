@@ -179,23 +179,31 @@ def _open_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     (x, y) is linked if d(x) and d(y) differ in no more than D = (|x| + |y|) (100 - percent) / (100 + percent) elements,
     that is if they share o = (|d(x)| + |d(y)| - D) / 2 or more. As |d(x)| is above the limit of its own pair with h, o is
     above 0, and above (|d(y)| + (|h| - |y|) (100 - percent) / (100 + percent)) / 2. So, in any fixed order, one of the
-    first |d| - o + 1 elements of each is common. Shingles that h does not have come first, as the rarer ones.
+    first |d| - o + 1 elements of each is common. The order is by the number of members that hold an element, the rarest
+    first: what copies of h leave out of it is common to many, what each adds is its own. Elements that only members of
+    one component hold, or none that is apart from h, are first of all and left out of the join, as no pair meets there.
     """
     hubs = placed.groupBy("c").agg(F.max(F.struct("meets", "id", "n")).alias("p"))
     lead = placed.join(hubs, "c").groupBy("key").agg(F.max(F.struct("p.meets", "p.id", "p.n", "c")).alias("p"))
     lead = lead.select("key", F.col("p.id").alias("hub"), F.col("p.n").alias("nh"), F.col("p.c").alias("hub_c"))
     met = placed.join(lead, "key").where("id <> hub").select("id", "n", "c", "hub", "nh", "hub_c").distinct()
     both = met.join(sets.select("id", F.col("set").alias("x")), "id").join(sets.select(F.col("id").alias("hub"), F.col("set").alias("h")), "hub")
-    ordered = lambda a, b: F.array_sort(F.transform(F.array_except(a, b), lambda v: F.xxhash64("hub", v)))
+    only = lambda a, b: F.transform(F.array_except(a, b), lambda v: F.xxhash64("hub", v))
     far, near = 100 - percent, 100 + percent
-    d = both.withColumn("d", F.concat(ordered("x", "h"), ordered("h", "x"))).withColumn("nd", F.size("d").cast("long")).drop("x", "h")
+    d = both.withColumn("d", F.concat(only("x", "h"), only("h", "x"))).withColumn("nd", F.size("d").cast("long")).drop("x", "h")
     d = d.withColumn("apart", (F.col("c") != F.col("hub_c")) & (F.col("nd") * near > (F.col("n") + F.col("nh")) * far))
     most = F.floor(F.col("n") * far / percent)
     half = F.floor((F.col("nd") * near + (F.col("nh") - F.col("n")) * far) / (2 * near))
     d = d.withColumn("p", F.col("nd") - F.greatest(F.lit(1), F.col("nd") - most, half) + 1)
     d = d.withColumn("q", F.when(F.col("apart"), F.col("nd") - F.greatest(F.lit(1), F.col("nd") - most) + 1).otherwise(0))
-    d = materialize(d.withColumn("d", F.slice("d", F.lit(1), F.greatest("p", "q").cast("int"))), "apart")
-    keys = d.select("id", "n", "nd", "c", "p", "q", F.posexplode("d").alias("i", "key"))
+    d = materialize(d, "apart")
+    keys = d.select("id", "hub", "n", "nd", "c", "p", "q", F.explode("d").alias("key"))
+    held = keys.groupBy("key").agg(F.count("*").alias("held"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("q").alias("most"))
+    keys = keys.join(held.where("lo <> hi AND most > 0").select("key", "held"), "key")
+    keys = keys.groupBy("id", "hub", "n", "nd", "c", "p", "q").agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("d"))
+    keys = keys.withColumn("first", F.col("nd") - F.size("d")).select("id", "n", "nd", "c", "p", "q", "first", F.posexplode("d").alias("i", "k"))
+    keys = keys.select("id", "n", "nd", "c", "p", "q", (F.col("first") + F.col("i")).alias("i"), "k.key").where(F.col("i") < F.greatest("p", "q"))
+    keys = materialize(keys, "prefix")
     x = keys.where("i < q").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("nd").alias("da"), F.col("c").alias("ca"), F.col("i").alias("ia"))
     y = keys.where("i < p").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("nd").alias("db"), F.col("c").alias("cb"), F.col("i").alias("ib"))
     o = F.floor((F.col("da") + F.col("db") - F.floor((F.col("na") + F.col("nb")) * far / near) + 1) / 2)

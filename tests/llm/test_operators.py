@@ -343,6 +343,33 @@ def test_near_duplicates_in_one_bucket(spark, monkeypatch):
     assert len(set(want.values())) == 50 and got == want
 
 
+def test_near_duplicates_copies_with_common_changes(spark, monkeypatch):
+    """One bucket of copies that share some changes and are far from each other: few pairs are left to verify, no link is lost."""
+    from biblioflux.llm import minhash
+
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(0, " ".join(base), None, None)] + [(2000 + i, " ".join(base) + f" end{i}", None, None) for i in range(10)]
+    for i in range(1, 51):
+        w = [f"z{k}" if k in range(180, 192, 2) else x for k, x in enumerate(base[:199])]
+        at = rng.sample(range(1, 178, 2), 17)
+        for k in at[:14]:
+            w[k] = f"v{i}x{k}"
+        v = [f"u{i}x{k}" if k in at[14:] else x for k, x in enumerate(w)]
+        rows += [(i, " ".join(w), None, None), (1000 + i, " ".join(v), None, None)]
+    sketch, key, open_pairs, left = minhash.sketch, lambda k: F.lit(k).cast("long"), minhash._open_pairs, []
+    monkeypatch.setattr(minhash, "sketch", lambda *a: sketch(*a).withColumn("bands", F.when(F.col("n_shingles") < 199, F.array(key(0))).otherwise(F.array(key(0), key(1)))))
+
+    def counted(*a):
+        left.append((out := open_pairs(*a)).distinct().count())
+        return out
+
+    monkeypatch.setattr(minhash, "_open_pairs", counted)
+    want = brute_groups({i: shingles(t, 2) for i, t, *_ in rows}, 80)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), ngram=2).collect()}
+    assert len(set(want.values())) == 51 and got == want and 0 < sum(left) < 300, left
+
+
 def levenshtein(x: str, y: str) -> int:
     p = list(range(len(y) + 1))
     for i, c in enumerate(x, 1):
