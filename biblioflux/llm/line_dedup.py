@@ -125,11 +125,37 @@ def _similar(x: str, y: str, coded_x: str, coded_y: str) -> Column:
     return F.call_function("levenshtein", a, b, limit) >= 0
 
 
+def _open_long_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one bucket in different components, one of LONG_LINE characters or more, among them all that
+    are linked. Edits are counted in words there, so linked lines of up to w words share w - k words or more, repeats counted,
+    k being the edits allowed. So, in any fixed order, one of the first k + 1 words of each is common. The order is by the
+    number of lines that hold a word; those that only lines of one component hold are first and left out of the join."""
+    edits = lambda w: F.floor(w * (1 - SIMILARITY) + 1e-9).cast("int")
+    long = placed.where(F.col("n") >= int(LONG_LINE * SIMILARITY))
+    several = long.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("n").alias("most")).where((F.col("lo") != F.col("hi")) & (F.col("most") >= LONG_LINE))
+    lines = long.join(several.select("key"), "key", "left_semi").groupBy("id", "n", "c").agg(F.collect_list("key").alias("keys")).join(texts.select(F.col("h").alias("id"), "coded"), "id")
+    lines = materialize(lines.withColumn("w", F.length("coded")), "long")
+    words = lines.select("id", "c", F.explode(F.split("coded", "")).alias("word")).where("word <> ''").groupBy("id", "c", "word").agg(F.count("*").alias("times"))
+    words = materialize(words.select("id", "c", F.explode(F.transform(F.sequence(F.lit(1), "times"), lambda i: F.struct("word", i.alias("nth")))).alias("word")), "words")
+    held = words.groupBy("word").agg(F.count("*").alias("held"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    order = words.join(held.select("word", "held"), "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "word"))).alias("order"))
+    first = F.col("w") - F.size("order")
+    x = lines.join(order, "id").select("id", "n", "c", "keys", "w", first.alias("first"), F.posexplode(F.slice("order", F.lit(1), F.greatest(edits(F.col("w")) + 1 - first, F.lit(0)))).alias("i", "word"))
+    x = materialize(x.select("id", "n", "c", "keys", "w", (F.col("first") + F.col("i")).alias("i"), F.col("word.word").alias("word")), "apart")
+    y = x.select("word", *[F.col(c).alias(f"{c}_2") for c in x.columns if c != "word"])
+    most = F.greatest("w", "w_2")
+    shared = most - edits(most)
+    placed_so = (F.col("i") <= F.col("w") - shared) & (F.col("i_2") <= F.col("w_2") - shared)
+    met = x.join(y, "word").where((F.col("id") < F.col("id_2")) & (F.col("c") != F.col("c_2")) & placed_so & _near(F.col("n"), F.col("n_2")))
+    met = met.where((F.greatest("n", "n_2") >= LONG_LINE) & F.arrays_overlap("keys", "keys_2"))
+    return met.select(F.col("id").alias("a"), F.col("id_2").alias("b"))
+
+
 def _open_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of one bucket in different components, but for those that lengths and letters rule out: an edit
     takes one character of a kind away, adds one, or both, so neither the missing nor the added ones of all kinds can be more
-    than the edits. From LONG_LINE characters on, where edits are counted in words, lengths alone decide, as in _near. One
-    member of such a pair is outside the bucket's largest component."""
+    than the edits. One member of such a pair is outside the bucket's largest component. From LONG_LINE characters on, where
+    edits are counted in words, words decide."""
     count = [(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(c), F.lit("")))).alias(f"l_{c}") for c in LETTERS]
     letters = texts.join(placed.select(F.col("id").alias("h")).distinct(), "h", "left_semi").select(F.col("h").alias("id"), *count)
     letters = letters.withColumn("l_rest", sum(F.col(f"l_{c}") for c in LETTERS))
@@ -139,10 +165,11 @@ def _open_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
     longest = F.greatest("n", "n_2")
     # the missing and the added ones together, and the difference of the two
     twice = sum((F.abs(F.col(c) - F.col(f"{c}_2")) for c in letters.columns if c != "id"), F.abs(F.col("n") - F.col("n_2")))
-    possible = (longest >= LONG_LINE) | (twice <= 2 * F.floor(longest * (1 - SIMILARITY) + 1e-9))
+    possible = (longest < LONG_LINE) & (twice <= 2 * F.floor(longest * (1 - SIMILARITY) + 1e-9))
     once = ~F.col("out_2") | (F.col("id") < F.col("id_2"))
     met = x.where("out").join(y, "key").where((F.col("c") != F.col("c_2")) & once & _near(F.col("n"), F.col("n_2")) & possible)
-    return met.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
+    short = met.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
+    return short.unionByName(_open_long_pairs(placed, texts))
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -538,6 +538,30 @@ def test_fuzzy_lines_families_in_one_bucket(spark, monkeypatch):
     assert got == {i: int(i % 1000 > 0) for i, *_ in rows} and sum(left) < 500, left
 
 
+def test_fuzzy_long_lines_with_common_words(spark, monkeypatch):
+    """One bucket of long lines that share half of their words: few pairs are left to verify, links between such lines are found."""
+    from biblioflux.llm import line_dedup
+
+    rng = random.Random(22)
+    common = [f"common{k}" for k in range(75)]
+    rows = []
+    for i in range(40):
+        w = common + [f"v{i:02}x{k:02}" for k in range(75)]
+        v = [f"u{i:02}x{k:02}" if k in at else x for at in [rng.sample(range(150), 15)] for k, x in enumerate(w)]
+        rows += [(i, " ".join(w), None, None), (1000 + i, " ".join(v), None, None)]
+    keys, open_pairs, left = line_dedup.with_keys, line_dedup._open_pairs, []
+    monkeypatch.setattr(line_dedup, "with_keys", lambda *a: keys(*a).withColumn("keys", F.array(F.lit(0).cast("long"))))
+
+    def counted(*a):
+        left.append((out := open_pairs(*a)).distinct().count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_open_pairs", counted)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: int(i >= 1000) for i, *_ in rows}
+    assert 0 < sum(left) < 200, left
+
+
 def test_decontamination(spark, empty):
     from biblioflux.llm import decontaminate as D
 
