@@ -41,6 +41,8 @@ MAX_DELETES, MAX_HALVES = 21, 120
 SAMPLES = 16
 #: Letters that are counted to rule out pairs.
 LETTERS = "etaoinshrdlucm"
+#: Buckets with more open members that are long take the words as a filter: in smaller ones all pairs cost less.
+CROWD = 64
 #: Ids of candidates are broadcast up to this count (some 50 bytes each), else joined by shuffle.
 BROADCAST_IDS = 400_000
 
@@ -125,15 +127,20 @@ def _similar(x: str, y: str, coded_x: str, coded_y: str) -> Column:
     return F.call_function("levenshtein", a, b, limit) >= 0
 
 
-def _open_long_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one bucket in different components, one of LONG_LINE characters or more, among them all that
-    are linked. Edits are counted in words there, so linked lines of up to w words share w - k words or more, repeats counted,
+def _crowded(placed: DataFrame) -> DataFrame:
+    """(key) of the buckets whose long members are matched by _open_long_pairs."""
+    long = placed.where(F.col("n") >= int(LONG_LINE * SIMILARITY)).groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("n").alias("most"))
+    return long.where((F.col("size") > CROWD) & (F.col("lo") != F.col("hi")) & (F.col("most") >= LONG_LINE)).select("key")
+
+
+def _open_long_pairs(placed: DataFrame, crowded: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one crowded bucket in different components, one of LONG_LINE characters or more, among them
+    all that are linked. Edits are counted in words there, so linked lines of up to w words share w - k words or more, repeats counted,
     k being the edits allowed. So, in any fixed order, one of the first k + 1 words of each is common. The order is by the
     number of lines that hold a word; those that only lines of one component hold are first and left out of the join."""
     edits = lambda w: F.floor(w * (1 - SIMILARITY) + 1e-9).cast("int")
     long = placed.where(F.col("n") >= int(LONG_LINE * SIMILARITY))
-    several = long.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("n").alias("most")).where((F.col("lo") != F.col("hi")) & (F.col("most") >= LONG_LINE))
-    lines = long.join(several.select("key"), "key", "left_semi").groupBy("id", "n", "c").agg(F.collect_list("key").alias("keys")).join(texts.select(F.col("h").alias("id"), "coded"), "id")
+    lines = long.join(crowded, "key", "left_semi").groupBy("id", "n", "c").agg(F.collect_list("key").alias("keys")).join(texts.select(F.col("h").alias("id"), "coded"), "id")
     lines = materialize(lines.withColumn("w", F.length("coded")), "long")
     words = lines.select("id", "c", F.explode(F.split("coded", "")).alias("word")).where("word <> ''").groupBy("id", "c", "word").agg(F.count("*").alias("times"))
     words = materialize(words.select("id", "c", F.explode(F.transform(F.sequence(F.lit(1), "times"), lambda i: F.struct("word", i.alias("nth")))).alias("word")), "words")
@@ -155,21 +162,22 @@ def _open_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of one bucket in different components, but for those that lengths and letters rule out: an edit
     takes one character of a kind away, adds one, or both, so neither the missing nor the added ones of all kinds can be more
     than the edits. One member of such a pair is outside the bucket's largest component. From LONG_LINE characters on, where
-    edits are counted in words, words decide."""
+    edits are counted in words, words decide in crowded buckets, and lengths alone, as in _near, in others."""
+    crowded = materialize(_crowded(placed), "crowded")
     count = [(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(c), F.lit("")))).alias(f"l_{c}") for c in LETTERS]
     letters = texts.join(placed.select(F.col("id").alias("h")).distinct(), "h", "left_semi").select(F.col("h").alias("id"), *count)
     letters = letters.withColumn("l_rest", sum(F.col(f"l_{c}") for c in LETTERS))
-    x = placed.select("key", "id", "n", "c").join(letters, "id").join(main_component(placed), "key")
+    x = placed.select("key", "id", "n", "c").join(letters, "id").join(main_component(placed), "key").join(crowded.withColumn("crowd", F.lit(True)), "key", "left")
     x = materialize(x.withColumn("l_rest", F.col("n") - F.col("l_rest")).withColumn("out", F.col("c") != F.col("main")).drop("main"), "apart")
-    y = x.select("key", *[F.col(c).alias(f"{c}_2") for c in x.columns if c != "key"])
+    y = x.drop("crowd").select("key", *[F.col(c).alias(f"{c}_2") for c in x.columns if c not in ("key", "crowd")])
     longest = F.greatest("n", "n_2")
     # the missing and the added ones together, and the difference of the two
     twice = sum((F.abs(F.col(c) - F.col(f"{c}_2")) for c in letters.columns if c != "id"), F.abs(F.col("n") - F.col("n_2")))
-    possible = (longest < LONG_LINE) & (twice <= 2 * F.floor(longest * (1 - SIMILARITY) + 1e-9))
+    possible = F.when(longest >= LONG_LINE, F.col("crowd").isNull()).otherwise(twice <= 2 * F.floor(longest * (1 - SIMILARITY) + 1e-9))
     once = ~F.col("out_2") | (F.col("id") < F.col("id_2"))
     met = x.where("out").join(y, "key").where((F.col("c") != F.col("c_2")) & once & _near(F.col("n"), F.col("n_2")) & possible)
     short = met.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
-    return short.unionByName(_open_long_pairs(placed, texts))
+    return short.unionByName(_open_long_pairs(placed, crowded, texts))
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
