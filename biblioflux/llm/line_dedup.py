@@ -182,16 +182,16 @@ def _open_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row, line) of all lines but the first occurrence of each group."""
-    lines = with_keys(_lines(docs, doc_id, text)).select("doc_id", "row", "line", "h", F.array_distinct("keys").alias("keys"), F.length("norm").alias("n"))
-    lines = materialize(lines, "lines")
-    once = lines.where(F.col("n") >= MIN_CHARS).select(F.col("h").alias("id"), "n", "keys").dropDuplicates(["id"])
+    lines = with_keys(_lines(docs, doc_id, text)).select("doc_id", "row", "line", "h", F.array_distinct("keys").alias("keys"), F.length("norm").alias("n"), "norm")
+    lines = materialize(lines, "lines", codec="zstd")  # with their text, so that it is normalised once
+    once = lines.where(F.col("n") >= MIN_CHARS).select(F.col("h").alias("id"), "n", "keys").distinct()
     once = materialize(once, "once")  # with a shuffle before its own, that of the keys would not be read twice
     members = materialize(_sized(once.select("id", "n", F.explode("keys").alias("key"))), "members")
     release(once)
     ids = materialize(members.select(F.col("id").alias("h")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
-    texts = _lines(docs, doc_id, text).select("h", "norm").join(F.broadcast(ids) if few else ids, "h", "left_semi")
-    texts = materialize(texts.groupBy("h").agg(F.min("norm").alias("norm")).withColumn("coded", _coded("norm")), "texts")
+    texts = lines.select("h", "norm").join(F.broadcast(ids) if few else ids, "h", "left_semi").distinct()
+    texts = materialize(texts.withColumn("coded", _coded("norm")), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda k: texts.select(F.col("h").alias(k), F.col("norm").alias(f"t{k}"), F.col("coded").alias(f"w{k}"))
@@ -232,7 +232,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     lines = F.split(text, "\n")
     out = out.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
     out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    rest = F.array_except(F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0))), F.col("__gone"))
-    cut = out.withColumns({"__l": F.when(F.col("__gone").isNotNull(), lines), "__rest": F.when(F.col("__gone").isNotNull(), rest)})
-    text_out = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform("__rest", lambda i: F.get(F.col("__l"), i)), "\n"))
-    return cut.withColumn(text, text_out).select(*kept, "n_lines", "n_removed")
+
+    def rest(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    text_out = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(_let(lines, rest))
+    return out.withColumn(text, text_out).select(*kept, "n_lines", "n_removed")

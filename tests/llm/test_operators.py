@@ -562,6 +562,21 @@ def test_fuzzy_long_lines_with_common_words(spark, monkeypatch):
     assert 0 < sum(left) < 200, left
 
 
+def test_fuzzy_lines_are_normalised_once(spark, monkeypatch):
+    """The text of lines with common keys comes from the table of lines, not from the documents again."""
+    from biblioflux.llm import line_dedup
+
+    rng = random.Random(23)
+    x = [prose(rng, 30) for _ in range(4)]
+    rows = [(i, f"{a}\n\n{a.upper()}!\nown line {i}", None, None) for i, a in enumerate(x)] + [(10 + i, _edited(rng, a, 1), None, None) for i, a in enumerate(x)]
+    normalised, calls = line_dedup.normalised, []
+    monkeypatch.setattr(line_dedup, "normalised", lambda c: calls.append(c) or normalised(c))
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    own = ["own line 0"] + [""] * 3  # the others are one edit away from it
+    assert got == {i: ("\n".join([a, "", own[i]] if own[i] else [a, ""]), 1 + (i > 0)) for i, a in enumerate(x)} | {10 + i: ("", 1) for i in range(4)}
+    assert len(calls) == 1
+
+
 def test_decontamination(spark, empty):
     from biblioflux.llm import decontaminate as D
 
