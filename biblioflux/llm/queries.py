@@ -118,3 +118,56 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+
+
+@query
+def op11_drake_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors, with_inertia
+
+    out = with_inertia(cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _centroid_sql(rounds: int = 10) -> str:
+    """Plain rounds of assignment and floor means."""
+    steps = [
+        """kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), embedding) r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) v
+FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS MATERIALIZED (SELECT (r - 1)::INT c, v FROM kept WHERE r <= 8)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"d{i} AS (SELECT r, vec_id, k.v, c, list_sum(list_transform(list_zip(k.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT d FROM kept k, c{i} m)")
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) vec_id, any_value(v) v, arg_min(c, (d, c)) c, min(d) d FROM d{i} GROUP BY r)")
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT c, j, sum(v[j])::HUGEINT s, count(*)::HUGEINT n FROM a{i}, range(1, 65) g(j) GROUP BY c, j)")
+            steps.append(f"m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) v FROM s{i} GROUP BY c)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) v FROM c{i} o LEFT JOIN m{i} m USING (c))")
+    last = f"""SELECT vec_id, a.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} m ON a.c = m.c"""
+    return "WITH " + ",\n".join(steps) + "\n" + last
+
+
+ORACLE["op11_drake_centroids"] = _centroid_sql()
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+ORACLE["op12_source_divergence"] = r"""WITH d AS (SELECT row_number() OVER () r, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') t FROM documents),
+tok AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT ln FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+lv AS (SELECT lang, count(*)::HUGEINT v, sum(ln)::HUGEINT n FROM kept GROUP BY lang),
+cnt AS (SELECT t.lang, t.source, t.term, count(*)::HUGEINT c FROM tok t JOIN kept k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, sum(c)::HUGEINT n FROM cnt GROUP BY lang, source),
+grid AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) c, 1 + 1000000000 * (coalesce(c.c, 0) + 5) // (coalesce(gn.n, 0) + 5 * lv.v) p, 1 + 1000000000 * (k.ln + 5) // (lv.n + 5 * lv.v) q
+FROM grp g JOIN kept k ON g.lang = k.lang JOIN lv ON lv.lang = g.lang LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+prs AS (SELECT a.lang, a.source, b.source item FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source),
+dist AS (SELECT a.lang, a.source, b.source item, sum(abs(a.p - b.p))::BIGINT v FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT lang, source, 'pair' part, item, coalesce(v, 0)::BIGINT AS value FROM prs LEFT JOIN dist USING (lang, source, item)
+UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM grid WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM parts) WHERE part = 'pair' OR rank <= 50"""
