@@ -35,14 +35,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted when the session's Python ends."""
+    path = f"{scratch_root(spark)}/tables/{tag}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, tag: str = "t", codec: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder, compressed by the session's codec or the one given, and read it back: lineage
     ends there, and a lost executor costs only the tasks that read the table. release() deletes the folder, else it goes when
     the session's Python ends."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tables/{tag}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, tag)
     df.write.parquet(path, compression=codec)
-    _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -171,3 +171,13 @@ dist AS (SELECT a.lang, a.source, b.source item, sum(abs(a.p - b.p))::BIGINT v F
 parts AS (SELECT lang, source, 'pair' part, item, coalesce(v, 0)::BIGINT AS value FROM prs LEFT JOIN dist USING (lang, source, item)
 UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM grid WHERE c > 0 AND p > q)
 SELECT lang, source, part, item, value, rank FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM parts) WHERE part = 'pair' OR rank <= 50"""
+
+
+@query
+def op13_frequency_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .binary_ids import read_ids, write_ids
+    from .common import scratch_folder
+
+    path = scratch_folder(spark, "ids")
+    write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer("word_bpe_49k.json"), end_id=2)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
