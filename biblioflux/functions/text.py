@@ -1,4 +1,4 @@
-"""Column expressions for text: coercion, normalisation, tokens, n-grams, lemmas."""
+"""Column expressions for text: coercion, normalisation, tokens, n-grams."""
 
 from __future__ import annotations
 
@@ -125,22 +125,6 @@ def occurrences(text: Column, phrase: Column) -> Column:
     return F.when(F.length(phrase) == 0, F.lit(0)).otherwise((gone / F.length(phrase)).cast("int"))
 
 
-def lemma(w: Column) -> Column:
-    """A noun lemma and then a verb lemma by suffix rules; words of three letters or fewer stay.
-
-    Rules (first that fits): -ies to -y; -sses, -shes, -ches, -xes lose -es; -s is lost unless after s, u or i;
-    then -ing and -ed are lost where at least four letters stay.
-    """
-    noun = (
-        F.when(F.length(w) <= 3, w)
-        .when(F.endswith(w, F.lit("ies")), F.concat(F.regexp_replace(w, "ies$", ""), F.lit("y")))
-        .when(F.rlike(w, F.lit("(ss|sh|ch|x)es$")), F.regexp_replace(w, "es$", ""))
-        .when(F.rlike(w, F.lit("[^sui]s$")), F.regexp_replace(w, "s$", ""))
-        .otherwise(w)
-    )
-    return F.when(F.rlike(noun, F.lit("^.{4,}ing$")), F.regexp_replace(noun, "ing$", "")).when(F.rlike(noun, F.lit("^.{4,}ed$")), F.regexp_replace(noun, "ed$", "")).otherwise(noun)
-
-
 def keyword_phrases(c: Column, stopwords: list[str] = ()) -> Column:
     """The set of keyword phrases, in order: split on ; , |, keep a-z 0-9 hyphen and space, squeeze, three characters or
     more, no stopwords."""

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from ..scratch import forget, written
 
 
 @dataclass(frozen=True)
@@ -19,22 +19,54 @@ class Thresholds:
     medium_margin: float = 0.003
 
 
-def tfidf(tf: DataFrame, doc: str, n_docs: int, max_features: int | None = 30_000) -> DataFrame:
-    """(doc, term, weight): (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), rows of unit length.
+def top_vocabulary(docs: DataFrame, tokens: Column, k: int, cells: int = 1 << 20) -> DataFrame:
+    """(term, cf): the k most frequent terms of all documents, ties by term; exact.
 
-    tf is unique by document and term. The vocabulary is the most frequent terms over all rows, ties by term.
+    Occurrences are counted first by a hash of the term, in at most `cells` cells, which bound every term in them from
+    above. Only terms in cells that reach a bound are then counted themselves. If the k-th of those reaches the bound too,
+    no other term can; if not, it is the next bound, and that one suffices.
     """
-    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    if max_features is not None:
-        stats = stats.orderBy(F.desc("cf"), "term").limit(max_features)
-    idf = stats.select("term", (F.ln(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    idf = F.broadcast(idf) if max_features is not None and max_features <= 100_000 else idf  # so many rows at most
+    rows = docs.select(F.explode(tokens).alias("term"))
+    cell = F.pmod(F.xxhash64("term"), F.lit(cells)).cast("int").alias("cell")
+    sketch = written(rows.select(cell).groupBy("cell").agg(F.count("*").alias("n")), "sketch")
+    bound = sketch.orderBy(F.desc("n")).limit(2 * k).agg(F.min("n")).first()[0] or 1
+    while True:
+        heavy = sketch.where(F.col("n") >= bound).select("cell")
+        kept = rows.select("term", cell).join(F.broadcast(heavy), "cell")  # `cells` integers at most
+        found = written(kept.groupBy("term").agg(F.count("*").alias("cf")).orderBy(F.desc("cf"), "term").limit(k), "vocabulary")
+        n, least = found.agg(F.count("*"), F.min("cf")).first()
+        if bound <= 1 or (n == k and least >= bound):
+            forget(sketch)
+            return found
+        forget(found)
+        bound = least if n == k else 1
+
+
+def vocabulary_counts(docs: DataFrame, doc: str, tokens: Column, max_features: int) -> DataFrame:
+    """(doc, term, tf) of the max_features most frequent terms only, written: other terms never move."""
+    terms = top_vocabulary(docs, tokens, max_features).select("term")
+    terms = F.broadcast(terms) if max_features <= 100_000 else terms  # so many rows at most
+    return written(docs.select(doc, F.explode(tokens).alias("term")).join(terms, "term").groupBy(doc, "term").agg(F.count("*").alias("tf")), "tf")
+
+
+def inverse_frequency(tf: DataFrame, n_docs: int) -> DataFrame:
+    """(term, idf): ln((1 + n) / (1 + df)) + 1; tf is unique by document and term."""
+    return tf.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.ln(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def weighted(tf: DataFrame, doc: str, idf: DataFrame) -> DataFrame:
+    """(doc, term, weight): (1 + ln tf) idf, rows of unit length; terms without idf are left out."""
     raw = tf.join(idf, "term").select(doc, "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
     # a document's row holds no more than its distinct terms
     rows = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("all"))
     return rows.select(doc, "norm", F.inline("all")).select(doc, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def tfidf(tf: DataFrame, doc: str, n_docs: int) -> DataFrame:
+    """(doc, term, weight) over all terms of tf; vocabulary_counts() gives those of a bounded vocabulary."""
+    return weighted(tf, doc, inverse_frequency(tf, n_docs))
+
+
 def prototype_scores(weights: DataFrame, doc: str, docs: DataFrame, fields: DataFrame, prototype_ids: DataFrame) -> DataFrame:
     """(doc, idx, field, score) for every document and field: dot products of unit vectors, 0 where no term is shared.
 

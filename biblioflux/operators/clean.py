@@ -84,7 +84,3 @@ def remap(df: DataFrame, column: str, names: dict[str, str], out: str | None = N
     """Labels by a dictionary; others stay."""
     pairs = [F.lit(x) for kv in names.items() for x in kv]
     return df.withColumn(out or column, F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), F.col(column)) if pairs else F.col(column))
-
-
-def group_size(df: DataFrame, keys: list[str], out: str = "group_size") -> DataFrame:
-    return df.withColumn(out, F.count("*").over(Window.partitionBy(*keys)))

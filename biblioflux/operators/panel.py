@@ -47,6 +47,10 @@ def scopes(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def period_scopes(df: DataFrame, year: str, last_year: int, name: str) -> DataFrame:
     """All rows under scope `all`, and those up to last_year under scope `name`."""
     return scopes({"all": df, name: df.where(F.col(year) <= last_year)})

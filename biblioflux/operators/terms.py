@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import bigram_g2, two_cell_llr, xlogy
-from ..functions.text import lemma, ngrams
+from ..functions.text import ngrams
+from ..scratch import written
+from .lemmas import lemmas
+from .phrases import many_phrase_counts
 
 
 def term_counts(df: DataFrame, tokens: Column, by: list[str] = (), weight: Column | None = None) -> DataFrame:
@@ -129,7 +132,7 @@ def stream_ngrams(df: DataFrame, doc: str, tokens: Column, n: int = 2) -> DataFr
             rows += [("edge", part, 0, lead), ("edge", part, 1, trail)]
         yield pd.DataFrame(rows, columns=["kind", "part", "pos", "words"])
 
-    pieces = ranged.mapInPandas(stitch, schema).persist()
+    pieces = written(ranged.mapInPandas(stitch, schema), "edges")
     grams = pieces.where("kind = 'gram'").select(F.array_join("words", " ").alias("term"))
     edges = pieces.where("kind = 'edge'").orderBy("part", "pos").collect()  # two rows for each range of documents
     extra, trail = [], []
@@ -216,30 +219,20 @@ def exclude_phrases(phrases: DataFrame, exact: list[str], stopwords: list[str],
     return phrases.where(~listed & ~all_stops & ~hit)
 
 
-def lemmatised_phrases(phrases: DataFrame, stopwords: list[str], least: int = 3) -> DataFrame:
-    """Phrases with every part lemmatised; kept if no part is a stopword or shorter than `least`."""
-    stops = F.array(*[F.lit(w) for w in sorted(set(stopwords))]).cast("array<string>")
-    parts = F.transform(F.split("term", " "), lemma)
-    ok = F.forall(parts, lambda p: ~F.array_contains(stops, p) & (F.length(p) >= least))
-    return phrases.where(ok).withColumn("term", F.array_join(parts, " "))
+def lemmatised_phrases(phrases: DataFrame, stopwords: list[str], lexicon: DataFrame, exceptions: DataFrame | None = None, least: int = 3) -> DataFrame:
+    """Phrases with every part lemmatised; kept if no part is a stopword or shorter than `least`. Each distinct part is
+    looked up once; a phrase's parts, a few, come together again by its text."""
+    parts = phrases.select(F.col("term").alias("phrase"), F.posexplode(F.split("term", " ")).alias("place", "term"))
+    found = parts.join(lemmas(parts, lexicon, exceptions), "term", "left").select("phrase", "place", F.coalesce("lemma", "term").alias("lemma"))
+    ok = ~F.col("lemma").isin(*sorted(set(stopwords))) if stopwords else F.lit(True)
+    whole = found.groupBy("phrase").agg(F.min(ok & (F.length("lemma") >= least)).alias("ok"), F.transform(F.array_sort(F.collect_set(F.struct("place", "lemma"))), lambda x: x["lemma"]).alias("parts"))
+    whole = whole.where("ok").select(F.col("phrase").alias("term"), F.array_join("parts", " ").alias("__lemmas"))
+    return phrases.join(whole, "term").withColumn("term", F.col("__lemmas")).drop("__lemmas")
 
 
 def phrase_counts(df: DataFrame, parts: list[tuple[Column, int]], phrases: list[str]) -> DataFrame:
-    """(term, freq): weighted occurrences of each phrase, counted apart, nested ones too, without overlaps of one phrase.
-
-    The phrase list is configuration of bounded size: each row's hits are counted in one expression and only phrases
-    that occur go on to the sum.
-    """
-    from ..functions.text import occurrences
-
-    names = F.array(*[F.lit(p) for p in sorted(set(phrases))])
-    cells = []
-    for text, weight in parts:
-        low = F.lower(F.coalesce(text, F.lit("")))
-        hits = F.filter(F.transform(names, lambda p: F.struct(p.alias("term"), (occurrences(low, p) * weight).cast("long").alias("n"))), lambda s: s["n"] > 0)
-        cells.append(hits)
-    rows = df.select(F.explode(F.concat(*cells)).alias("h"))
-    return rows.groupBy(F.col("h.term").alias("term")).agg(F.sum("h.n").alias("freq"))
+    """(term, freq): many_phrase_counts() of a list."""
+    return many_phrase_counts(df, parts, df.sparkSession.createDataFrame([(p,) for p in sorted(set(phrases))], "term string"))
 
 
 def replaced_phrases(text: Column, phrases: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.lemmas import ENDINGS, IRREGULAR
 from .queries import LABEL_WORDS, MARKERS, PHRASES, PRIORITIES, SEEDS, SEGMENTS, SPLIT, STOPWORDS, STRONG, WEAK
 
 ORACLE: dict[str, str] = {}
@@ -96,13 +97,22 @@ _wt = f"""{ART}, wt AS (SELECT term, CAST(sum(w) AS BIGINT) AS freq FROM (
 ORACLE["weighted_token_counts"] = f"WITH {_wt} SELECT * FROM wt"
 
 
-def lemma(w: str) -> str:
-    noun = f"""CASE WHEN length({w}) <= 3 THEN {w} WHEN {w} LIKE '%ies' THEN {w}[:-4] || 'y' WHEN regexp_matches({w}, '(ss|sh|ch|x)es$') THEN {w}[:-3]
-      WHEN regexp_matches({w}, '[^sui]s$') THEN {w}[:-2] ELSE {w} END"""
-    return f"CASE WHEN regexp_matches({noun}, '^.{{4,}}ing$') THEN ({noun})[:-4] WHEN regexp_matches({noun}, '^.{{4,}}ed$') THEN ({noun})[:-3] ELSE {noun} END"
+def lemma(terms: str, counts: str) -> str:
+    """Tables l0 to l2 from terms(term): as nouns, then as verbs, over a lexicon of the words counted five times or more."""
+    rules = ", ".join(f"('{pos}', {i}, '{end}', '{put}')" for pos, all_ in ENDINGS.items() for i, (end, put) in enumerate(all_, 1))
+    odd = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in IRREGULAR)
+    out = f"rule(pos, i, e, put) AS (VALUES {rules}), odd(form, w, pos) AS (VALUES {odd}), lx AS (SELECT term AS w FROM {counts} WHERE freq >= 5), l0 AS (SELECT DISTINCT term, term AS lemma FROM {terms})"
+    for k, pos in enumerate("nv"):
+        stem = "left(lemma, length(lemma) - length(e))"
+        out += f""", c{k} AS (SELECT term, lemma AS w, 1 AS turn, 0 AS place FROM l{k} UNION ALL SELECT term, w, 0, -1 FROM l{k} JOIN odd ON form = lemma AND pos = '{pos}'
+UNION ALL SELECT term, {stem} || put, 1, i FROM l{k} JOIN rule ON pos = '{pos}' AND ends_with(lemma, e) AND length(lemma) > length(e)
+UNION ALL SELECT term, left({stem}, length({stem}) - 1), 2, 100 FROM l{k} JOIN rule ON pos = '{pos}' AND pos = 'v' AND put = '' AND e IN ('ed', 'ing') AND ends_with(lemma, e) AND length(lemma) > length(e) + 1
+  AND right({stem}, 1) = left(right({stem}, 2), 1) AND NOT contains('aeiou', right({stem}, 1))),
+l{k + 1} AS (SELECT l.term, coalesce(b.w, l.lemma) AS lemma FROM l{k} l LEFT JOIN (SELECT term, arg_min(w, (turn, length(w), place, w)) AS w FROM c{k} JOIN lx USING (w) GROUP BY term) b USING (term))"""
+    return out
 
 
-ORACLE["lemma_counts"] = f"WITH {TOK}, c AS ({_count.format('tok')}) SELECT {lemma('term')} AS term, CAST(sum(freq) AS BIGINT) AS freq FROM c GROUP BY 1"
+ORACLE["lemma_counts"] = f"WITH {TOK}, c AS ({_count.format('tok')}), {lemma('c', 'c')} SELECT lemma AS term, CAST(sum(freq) AS BIGINT) AS freq FROM c JOIN l2 USING (term) GROUP BY 1"
 
 ORACLE["doc_freq_bounds"] = f"""WITH {TOK}, x AS (SELECT doc_id, unnest(k) AS term FROM tok)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS freq FROM x GROUP BY term
@@ -155,11 +165,11 @@ j AS (SELECT w.term, w.freq, CAST(w.freq AS DOUBLE) AS k, CAST(ux.freq AS DOUBLE
   JOIN g2 p ON p.term = x || ' ' || y JOIN g2 q ON q.term = y || ' ' || z JOIN gp r ON r.term = x || ' ' || z, tot)
 SELECT term, freq, {r6('2 * (' + ' + '.join(cell(o, p, 'N * N') for o, p in _cells3) + ')')} AS score FROM j"""
 
-_lem = lambda i: lemma(f"split_part(term, ' ', {i})")
-ORACLE["phrase_filter"] = f"""WITH {TOK}, g AS (SELECT term, count(*) AS freq FROM (SELECT unnest({grams('k', 2)}) AS term FROM tok) GROUP BY term),
-f AS (SELECT {_lem(1)} AS a, {_lem(2)} AS b, freq FROM g WHERE term <> 'of the' AND NOT contains(term, 'tion')
-  AND NOT (list_contains({lst(STOPWORDS)}, split_part(term, ' ', 1)) AND list_contains({lst(STOPWORDS)}, split_part(term, ' ', 2))))
-SELECT a || ' ' || b AS term, CAST(sum(freq) AS BIGINT) AS freq FROM f
+ORACLE["phrase_filter"] = f"""WITH {TOK}, c AS ({_count.format('tok')}), g AS (SELECT term AS g, count(*) AS freq FROM (SELECT unnest({grams('k', 2)}) AS term FROM tok) GROUP BY term),
+f AS (SELECT split_part(g, ' ', 1) AS x, split_part(g, ' ', 2) AS y, freq FROM g WHERE g <> 'of the' AND NOT contains(g, 'tion')
+  AND NOT (list_contains({lst(STOPWORDS)}, split_part(g, ' ', 1)) AND list_contains({lst(STOPWORDS)}, split_part(g, ' ', 2)))), xy AS (SELECT x AS term FROM f UNION SELECT y FROM f), {lemma('xy', 'c')},
+h AS (SELECT a.lemma AS a, b.lemma AS b, freq FROM f JOIN l2 a ON a.term = x JOIN l2 b ON b.term = y)
+SELECT a || ' ' || b AS term, CAST(sum(freq) AS BIGINT) AS freq FROM h
 WHERE length(a) >= 3 AND length(b) >= 3 AND NOT list_contains({lst(STOPWORDS)}, a) AND NOT list_contains({lst(STOPWORDS)}, b) GROUP BY 1"""
 
 
@@ -168,6 +178,8 @@ def inclusive(phrases: list[str]) -> str:
     return f"SELECT p AS term, CAST(sum(2 * ({occ('title')}) + {occ('abstract')}) AS BIGINT) AS freq FROM art, (SELECT unnest({lst(phrases)}) AS p) GROUP BY p HAVING sum(2 * ({occ('title')}) + {occ('abstract')}) > 0"
 
 
+ORACLE["mined_phrase_counts"] = f"""WITH {ART}, {CON}, {_gram(2)}, ph AS (SELECT term AS p FROM g2 WHERE freq >= 20), x AS (SELECT p, 2 * ((length(title) - length(replace(lower(title), p, ''))) // length(p)) + (length(abstract) - length(replace(lower(abstract), p, ''))) // length(p) AS n FROM art, ph)
+SELECT p AS term, CAST(sum(n) AS BIGINT) AS freq FROM x GROUP BY p HAVING sum(n) > 0"""
 ORACLE["phrase_counts_inclusive"] = f"WITH {ART} {inclusive(PHRASES)}"
 
 
@@ -219,6 +231,7 @@ cl AS (SELECT doc_id, raw_field, score, margin, CASE WHEN high AND raw_field <>
   CASE WHEN (high AND raw_field <> 'Methods') OR (NOT high AND (score < 0.020 OR margin < 0.003)) THEN 'Medium' ELSE 'Low' END AS priority,
   score >= 0.020 AND margin >= 0.003 AS is_high_confidence FROM hr)"""
 ORACLE["classify_tfidf"] = f"WITH {_cls} SELECT * REPLACE ({r6('score')} AS score, {r6('margin')} AS margin) FROM cl"
+ORACLE["stream_classified"] = ORACLE["classify_tfidf"]
 ORACLE["classify_legacy_review"] = f"WITH {classified(_words)} SELECT doc_id, raw_field, {r6('score')} AS score, {r6('margin')} AS margin, score < 0.03 OR margin < 0.005 AS needs_review FROM be"
 _chars = "x AS (" + " UNION ALL ".join(f"SELECT doc_id, unnest(list_transform(range(1, length(text) - {n} + 2), lambda i: substr(lower(text), i, {n}))) AS term FROM both_" for n in (2, 3, 4)) + ")"
 ORACLE["classify_charngram"] = f"WITH {classified(_chars)} SELECT doc_id, raw_field, {r6('score')} AS score, {r6('margin')} AS margin, score < 0.03 OR margin < 0.005 AS needs_review FROM be"
@@ -226,14 +239,33 @@ ORACLE["class_distribution"] = f"WITH {_cls} SELECT field, count(*) AS n FROM cl
 ORACLE["review_priority"] = f"WITH {_cls} SELECT priority, basis, is_ambiguous, count(*) AS n FROM cl GROUP BY ALL"
 
 
-def chi2(src: str, row: str, by: str = "") -> str:
+def normal_p(z: str) -> str:
+    """Two-sided tail of a normal: Simpson's rule on 2,000 steps from 0."""
+    u = f"least(abs({z}), 10.0)"
+    f = f"list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * pow({u} * i / 2000, 2))))"
+    return f"greatest(0.0, 1 - sqrt(2 / pi()) * {u} / 6000 * {f})"
+
+
+def chi2_p(x: str, df: str) -> str:
+    """Upper tail of chi-square with an even number of degrees of freedom: a finite series."""
+    return f"list_sum(list_transform(range(0, CAST({df} AS BIGINT) // 2), lambda k: exp(-({x}) / 2 + k * ln(({x}) / 2) - lgamma(k + 1))))"
+
+
+def adjusted(src: str, key: str, by: str = "") -> str:
+    """aq: src(key, p) with q by Benjamini and Hochberg."""
+    w = f"PARTITION BY {by} " if by else ""
+    return f"""ak AS (SELECT *, row_number() OVER ({w}ORDER BY p, {key}) AS ar, count(*) OVER ({w}) AS am FROM {src}),
+aq AS (SELECT *, least(min(p * am / ar) OVER ({w}ORDER BY ar DESC ROWS UNBOUNDED PRECEDING), 1.0) AS q FROM ak)"""
+
+
+def chi2(src: str, row: str, by: str = "", tail: bool = False) -> str:
     """Pearson's test of a zero-filled panel table (by, row, field, n)."""
     p = f"PARTITION BY {by}, " if by else "PARTITION BY "
     alone = f"PARTITION BY {by}" if by else ""
     return f"""e AS (SELECT *, sum(n) OVER ({p}{row}) AS r, sum(n) OVER ({p}field) AS c, sum(n) OVER ({alone}) AS N_ FROM {src}),
 f AS (SELECT *, r * c / N_ AS e FROM e WHERE r > 0 AND c > 0),
 a AS (SELECT {by + ',' if by else ''} CAST(sum(n) AS BIGINT) AS n, sum((n - e) * (n - e) / e) AS chi2, count(DISTINCT {row}) AS rs, count(DISTINCT field) AS cs, min(e) AS min_expected FROM f {'GROUP BY ' + by if by else ''})
-SELECT {by + ',' if by else ''} n, {r6('chi2')} AS chi2, (rs - 1) * (cs - 1) AS df, {r6('sqrt(chi2 / (n * least(rs - 1, cs - 1)))')} AS cramers_v, {r6('min_expected')} AS min_expected FROM a"""
+SELECT {by + ',' if by else ''} n, {r6('chi2')} AS chi2, (rs - 1) * (cs - 1) AS df, {r6('sqrt(chi2 / (n * least(rs - 1, cs - 1)))')} AS cramers_v, {r6('min_expected')} AS min_expected{', ' + r6(chi2_p('chi2', '(rs - 1) * (cs - 1)')) + ' AS p' if tail else ''} FROM a"""
 
 
 def grid(src: str, by: str = "") -> str:
@@ -253,8 +285,11 @@ sc AS (SELECT e.vec_id, pr.label, round(CASE WHEN en.n > 0 AND prn.n > 0 THEN su
 rk AS (SELECT *, row_number() OVER o AS r, lead(score) OVER o AS nxt FROM sc WINDOW o AS (PARTITION BY vec_id ORDER BY score DESC, label))"""
 ORACLE["classify_embedding"] = f"""WITH {_cos} SELECT vec_id, 'label ' || label AS raw_field, {r6('score')} AS score, {r6('score - nxt')} AS margin,
 CASE WHEN score < 0.35 THEN 'methods' ELSE 'label ' || label END AS field FROM rk WHERE r = 1"""
-ORACLE["chunk_pool"] = f"""WITH ex AS (SELECT vec_id % 50 AS doc, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, len(embedding))) AS p FROM embeddings),
-m AS (SELECT doc, p, max(x) AS x FROM ex GROUP BY ALL) SELECT doc, CAST(p AS INTEGER) AS pos, {r6('x / sqrt(sum(x * x) OVER (PARTITION BY doc))')} AS x FROM m"""
+_chunks = r"""dw AS (SELECT doc_id, greatest(1, (len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')) + 255) // 256) AS n FROM documents),
+ch AS (SELECT doc_id, unnest(range(0, n)) AS chunk FROM dw)"""
+ORACLE["chunk_pool"] = f"""WITH {_chunks}, cv AS (SELECT doc_id, (doc_id * 7 + chunk) % (SELECT count(*) FROM embeddings) AS vec_id FROM ch),
+ex AS (SELECT doc_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, len(embedding))) AS p FROM cv JOIN embeddings USING (vec_id)),
+m AS (SELECT doc_id, p, max(x) AS x FROM ex GROUP BY ALL) SELECT doc_id, CAST(p AS INTEGER) AS pos, {r6('x / sqrt(sum(x * x) OVER (PARTITION BY doc_id))')} AS x FROM m"""
 
 # panels and tests
 
@@ -266,7 +301,7 @@ ORACLE["panel_shares"] = f"WITH {PAN}, s AS (SELECT *, CAST(sum(n) OVER (PARTITI
 ORACLE["overall_shares"] = f"WITH {PAN} SELECT field, CAST(sum(n) AS BIGINT) AS n, {r6('sum(n) * 100.0 / (SELECT sum(n) FROM pn)')} AS percent FROM pn GROUP BY field"
 ORACLE["panel_pivot"] = f"WITH {PAN} SELECT year, " + ", ".join(f"CAST(sum(n) FILTER (field LIKE '{i}%') AS BIGINT) AS p{i}" for i in range(1, 6)) + " FROM pn GROUP BY year"
 ORACLE["group_annual_shares"] = f"WITH {PANG}, s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY grp, year) AS BIGINT) AS total FROM pn) SELECT grp, year, field, n, total, {r6('CASE WHEN total > 0 THEN n / total END')} AS share FROM s"
-ORACLE["pearson_chi2"] = f"WITH {PAN}, {chi2('pn', 'year')}"
+ORACLE["pearson_chi2"] = f"WITH {PAN}, {chi2('pn', 'year', tail=True)}"
 ORACLE["pooled_pearson"] = f"WITH {PANG}, pp AS (SELECT grp, field, sum(n) AS n FROM pn GROUP BY ALL), {chi2('pp', 'grp')}"
 
 
@@ -284,17 +319,23 @@ fit AS (SELECT {keys}, b, se FROM nw WHERE it = 25)"""
 
 _cells = lambda by: f"""tt AS (SELECT *, sum(n) OVER (PARTITION BY {by}year) AS total FROM pn),
 ce AS (SELECT {by}field, CAST(year - min(year) OVER ({'PARTITION BY ' + by.rstrip(', ') if by else ''}) AS DOUBLE) AS t, CAST(n AS DOUBLE) AS y, CAST(total AS DOUBLE) AS n FROM tt)"""
-ORACLE["logit_trend"] = f"""WITH RECURSIVE {PAN}, {_cells('')}, {newton('ce', 'field')}
-SELECT field, {r6('b')} AS beta, {r6('se')} AS se, {r6('exp(b)')} AS odds_ratio, {r6('exp(b - 1.96 * se)')} AS or_low, {r6('exp(b + 1.96 * se)')} AS or_high, {r6('100 * (exp(b) - 1)')} AS percent_change FROM fit"""
 ORACLE["leave_one_year_out"] = f"""WITH RECURSIVE {PAN}, lo AS (SELECT y.year AS omitted, pn.* FROM pn, (SELECT DISTINCT year FROM pn) y WHERE y.year <> pn.year),
 tt AS (SELECT *, sum(n) OVER (PARTITION BY omitted, year) AS total FROM lo),
 ce AS (SELECT omitted, field, CAST(year - min(year) OVER (PARTITION BY omitted) AS DOUBLE) AS t, CAST(n AS DOUBLE) AS y, CAST(total AS DOUBLE) AS n FROM tt), {newton('ce', 'omitted, field')}
 SELECT omitted, field, {r6('b')} AS beta, {r6('se')} AS se, {r6('exp(b)')} AS odds_ratio FROM fit"""
+ORACLE["logit_trend"] = f"""WITH RECURSIVE {PAN}, {_cells('')}, {newton('ce', 'field')}, tp AS (SELECT *, {normal_p('(b / se)')} AS p FROM fit), {adjusted('tp', 'field')}
+SELECT field, {r6('b')} AS beta, {r6('se')} AS se, {r6('b / se')} AS z, {r6('p')} AS p, {r6('q')} AS q, {r6('exp(b)')} AS odds_ratio, {r6('exp(b - 1.96 * se)')} AS or_low, {r6('exp(b + 1.96 * se)')} AS or_high, {r6('100 * (exp(b) - 1)')} AS percent_change FROM aq"""
 _d = "(y.b - x.b)"
 _s = "sqrt(x.se * x.se + y.se * y.se)"
-ORACLE["logit_interaction"] = f"""WITH RECURSIVE {PANG}, {_cells('grp, ')}, {newton('ce', 'grp, field')}
-SELECT field, {r6(_d)} AS coefficient, {r6(_s)} AS se, {r6(f'exp({_d})')} AS ratio, {r6(f'exp({_d} - 1.96 * {_s})')} AS ratio_low, {r6(f'exp({_d} + 1.96 * {_s})')} AS ratio_high
-FROM (SELECT * FROM fit WHERE grp = 0) x JOIN (SELECT * FROM fit WHERE grp = 1) y USING (field)"""
+ORACLE["logit_interaction"] = f"""WITH RECURSIVE {PANG}, {_cells('grp, ')}, {newton('ce', 'grp, field')},
+ix AS (SELECT field, {_d} AS c, {_s} AS s FROM (SELECT * FROM fit WHERE grp = 0) x JOIN (SELECT * FROM fit WHERE grp = 1) y USING (field)),
+tp AS (SELECT *, {normal_p('(c / s)')} AS p FROM ix), {adjusted('tp', 'field')}
+SELECT field, {r6('c')} AS coefficient, {r6('s')} AS se, {r6('p')} AS p, {r6('q')} AS q, {r6('exp(c)')} AS ratio, {r6('exp(c - 1.96 * s)')} AS ratio_low, {r6('exp(c + 1.96 * s)')} AS ratio_high FROM aq"""
+# saturated designs have closed forms
+ORACLE["individual_fits"] = f"""WITH {ORD}, v AS (SELECT design, field, k, count(*) AS c FROM (SELECT 'none' AS design, field, '' AS k FROM o UNION ALL SELECT 'year', field, CAST(year AS VARCHAR) FROM o UNION ALL SELECT 'group and year', field, grp || '/' || year FROM o) GROUP BY ALL),
+w AS (SELECT *, sum(c) OVER (PARTITION BY design, k) AS t FROM v), l AS (SELECT design, CAST(sum(c) AS BIGINT) AS n, sum(c * ln(c / t)) AS loglik, (count(DISTINCT k) - 1) * (count(DISTINCT field) - 1) AS df FROM w GROUP BY design),
+m AS (SELECT l.*, CASE WHEN design = 'none' THEN 0 ELSE 2 * (loglik - (SELECT loglik FROM l WHERE design = 'none')) END AS lr FROM l)
+SELECT design, n, {r6('loglik')} AS loglik, {r6('lr')} AS lr, CAST(df AS INTEGER) AS df, {r6(f"CASE WHEN df = 0 THEN 1 ELSE {chi2_p('lr', 'df')} END")} AS p FROM m"""
 ORACLE["saturated_loglik"] = f"WITH {PANG}, s AS (SELECT n, sum(n) OVER (PARTITION BY grp, year) AS t FROM pn) SELECT {r6('sum(n * ln(n / t))')} AS loglik FROM s WHERE n > 0"
 
 _pp = "pp AS (SELECT p_partkey, p_type, u * u AS p FROM (SELECT p_partkey, p_type, CAST('0x' || substr(md5('7|' || p_partkey), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM part))"
@@ -346,6 +387,18 @@ ORACLE["key_signals"] = f"""WITH {PANG}, {split('pn', 'grp')}, {window('pn', 'gr
 SELECT grp, field, 'split' AS signal, {_cut} AS place, {r6('z')} AS value FROM {_best('sp', 'grp, ', 'abs(z)', 'cut')} WHERE {_three}
 UNION ALL SELECT grp, field, 'low window', {_win}, {r6('z')} FROM {_best('wi', 'grp, ', 'z', 'start')} WHERE {_three}"""
 
+_start = SPLIT - 3
+ORACLE["fixed_window_effects"] = f"WITH {PAN}, {window('pn')} SELECT field, start, {_four('inside', 'outside')} FROM wi WHERE start = {_start}"
+_scoped = f"""so AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS raw, o_totalprice AS v FROM orders),
+sr AS (SELECT 'final' AS scope, year, CASE WHEN v < 20000 THEN '4-NOT SPECIFIED' ELSE raw END AS field FROM so UNION ALL SELECT 'raw', year, raw FROM so UNION ALL SELECT 'high_confidence', year, raw FROM so WHERE v >= 50000), {grid('sr', 'scope')}"""
+_stp = f"{_scoped}, {_cells('scope, ')}, {newton('ce', 'scope, field')}, tp AS (SELECT *, {normal_p('(b / se)')} AS p FROM fit), {adjusted('tp', 'field', 'scope')}"
+ORACLE["scope_trends"] = f"WITH RECURSIVE {_stp} SELECT scope, field, {r6('b')} AS beta, {r6('se')} AS se, {r6('b / se')} AS z, {r6('p')} AS p, {r6('q')} AS q, {r6('exp(b)')} AS odds_ratio FROM aq"
+_pick = lambda s: ", ".join(f"max(v) FILTER (scope = '{x}') AS {x}" for x in s)
+ORACLE["scope_signal_effects"] = f"""WITH RECURSIVE {_stp}, {split('pn', 'scope')}, {window('pn', 'scope')},
+sg AS (SELECT 'linear trend' AS signal, scope, {r6('exp(b)')} AS v FROM aq WHERE field = '1-URGENT' UNION ALL SELECT 'change point', scope, {r6('diff * 100')} FROM {_best('sp', 'scope, ', 'abs(z)', 'cut')} WHERE field = '5-LOW'
+UNION ALL SELECT 'low window', scope, {r6('diff * 100')} FROM {_best('wi', 'scope, ', 'z', 'start')} WHERE field = '3-MEDIUM')
+SELECT signal, {_pick(('final', 'raw', 'high_confidence'))} FROM sg GROUP BY signal"""
+
 # resampling
 
 
@@ -385,6 +438,20 @@ _sp = f"""{CON}, {DTM}, {NDOCS}, dt AS (SELECT *, tf / sum(tf) OVER (PARTITION B
 sw AS (SELECT 'frequency' AS spec, doc_id, lang, term, CAST(tf AS DOUBLE) AS w FROM dt UNION ALL SELECT 'presence', doc_id, lang, term, 1.0 FROM dt
   UNION ALL SELECT 'paper', doc_id, lang, term, l1 FROM dt UNION ALL SELECT 'year_paper', doc_id, lang, term, l1 / g FROM dt JOIN gs USING (lang, year)), {metrics('sw', 'spec')}"""
 ORACLE["spec_table"] = f"WITH {_sp} SELECT spec, lang, {_m6} FROM me"
+_both2 = lambda x: f"list_concat({x}, {grams(x, 2)})"
+_nolab = f"list_filter(k, lambda w: NOT list_contains({lst(LABEL_WORDS)}, w))"
+_variants = {"full": _both2("k"), "pairs": grams("k", 2), "no_labels": _both2("nl"), "clear": _both2("k")}
+ORACLE["spec_table_full"] = f"""WITH {_phr}, {CON}, cn AS (SELECT *, {_nolab} AS nl FROM con), va AS (""" + " UNION ALL ".join(
+    f"SELECT '{n}' AS variant, doc_id, lang, year, {e} AS k FROM cn" + (" SEMI JOIN (SELECT doc_id FROM documents WHERE length(text) >= 200) USING (doc_id)" if n == "clear" else "") for n, e in _variants.items()
+) + f""" UNION ALL SELECT 'keywords', c.doc_id, c.lang, c.year, coalesce(p, []) FROM cn c LEFT JOIN (SELECT doc_id, list(phrase) AS p FROM ph GROUP BY doc_id) USING (doc_id)),
+sz AS (SELECT variant, lang, count(*) AS n_docs FROM va GROUP BY ALL), d0 AS (SELECT variant, doc_id, lang, year, term, count(*) AS tf FROM (SELECT variant, doc_id, lang, year, unnest(k) AS term FROM va) GROUP BY ALL),
+kp AS (SELECT variant, term FROM d0 JOIN (SELECT variant, sum(n_docs) AS n FROM sz GROUP BY variant) USING (variant) GROUP BY variant, term, n HAVING count(*) >= 5 AND count(*) <= 0.85 * n),
+d1 AS (SELECT *, tf / sum(tf) OVER (PARTITION BY variant, doc_id) AS l1 FROM d0 SEMI JOIN kp USING (variant, term)), gs AS (SELECT variant, lang, year, count(DISTINCT doc_id) AS g FROM d1 GROUP BY ALL),
+sw AS (SELECT CASE WHEN variant = 'full' THEN 'frequency' ELSE variant END AS spec, doc_id, lang, term, CAST(tf AS DOUBLE) AS w FROM d1 UNION ALL SELECT 'presence', doc_id, lang, term, 1.0 FROM d1 WHERE variant = 'full'
+  UNION ALL SELECT 'paper', doc_id, lang, term, l1 FROM d1 WHERE variant = 'full' UNION ALL SELECT 'year_paper', doc_id, lang, term, l1 / g FROM d1 JOIN gs USING (variant, lang, year) WHERE variant = 'full'),
+nd AS (SELECT unnest(CASE WHEN variant = 'full' THEN ['frequency', 'presence', 'paper', 'year_paper'] ELSE [variant] END) AS spec, lang, n_docs FROM sz),
+""" + metrics("sw", "spec").replace("JOIN nd USING (lang) JOIN vo", "RIGHT JOIN nd USING (spec, lang) LEFT JOIN vo").replace("df / n_docs AS max_coverage", "df / n_docs AS max_coverage, n_docs, v AS vocabulary") + f"""
+SELECT spec, lang, {_m6}, n_docs, CASE WHEN hhi IS NULL THEN NULL ELSE vocabulary END AS vocabulary FROM me"""
 ORACLE["pair_robustness"] = f"""WITH {_sp}, lo AS (""" + " UNION ALL ".join(f"SELECT spec, lang, '{m}' AS metric, {m} AS value FROM me" for m in _M) + f"""),
 pd AS (SELECT x.spec, x.lang AS a, y.lang AS b, x.metric, x.value AS value_a, y.value AS value_b, CASE WHEN x.metric = 'norm_entropy' THEN -1 ELSE 1 END * round(x.value - y.value, 12) AS adv
   FROM lo x JOIN lo y ON x.spec = y.spec AND x.metric = y.metric AND x.lang < y.lang)

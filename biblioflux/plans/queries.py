@@ -11,13 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import segment
 from ..functions import text as tx
 from ..functions.register import register_lexicon, register_segmenter
 from ..functions.rand import uniform
-from ..operators import clean, concentration, inference, multiple, panel, resample, scans, terms
+from ..operators import chunks, clean, concentration, inference, lemmas, likelihood, multiple, panel, phrases, resample, scans, study, terms
 from ..operators import classify as cl
+from ..scratch import forget, new_folder, written
 from ..schemas import backfill, domain, outside_domain, require_columns
 from ..sources.readers import parse_blocks
+from ..streaming.classify import classify_stream, freeze
+from ..streaming.terms import counts_to_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -158,10 +162,18 @@ def weighted_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.weighted_term_counts(a, [(tx.english_tokens(F.col("Title")), 2), (tx.english_tokens(F.col("Abstract")), 1)])
 
 
+def _lexicon(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The corpus as its own lexicon: words used five times or more, as nouns and verbs; and the irregular forms."""
+    pos = F.explode(F.array(F.lit("n"), F.lit("v"))).alias("pos")
+    odd = counts.sparkSession.createDataFrame(lemmas.IRREGULAR, "form string, word string, pos string")
+    return counts.where("freq >= 5").select(F.col("term").alias("word"), pos), odd
+
+
 @query
 def lemma_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = terms.term_counts(doc_tokens(spark, sf_dir), F.col("tokens"))
-    return counts.groupBy(tx.lemma(F.col("term")).alias("term")).agg(F.sum("freq").alias("freq"))
+    counts = written(terms.term_counts(doc_tokens(spark, sf_dir), F.col("tokens")), "counts")
+    found = lemmas.lemmas(counts, *_lexicon(counts))
+    return counts.join(found, "term").groupBy(F.col("lemma").alias("term")).agg(F.sum("freq").alias("freq"))
 
 
 @query
@@ -236,9 +248,10 @@ def best_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = terms.term_counts(doc_tokens(spark, sf_dir), tx.ngrams(F.col("tokens"), 2))
-    grams = terms.exclude_phrases(grams, ["of the"], STOPWORDS, ["tion"])
-    return terms.lemmatised_phrases(grams, STOPWORDS).groupBy("term").agg(F.sum("freq").alias("freq"))
+    d = doc_tokens(spark, sf_dir)
+    grams = written(terms.exclude_phrases(terms.term_counts(d, tx.ngrams(F.col("tokens"), 2)), ["of the"], STOPWORDS, ["tion"]), "grams")
+    words = written(terms.term_counts(d, F.col("tokens")), "counts")
+    return terms.lemmatised_phrases(grams, STOPWORDS, *_lexicon(words)).groupBy("term").agg(F.sum("freq").alias("freq"))
 
 
 @query
@@ -272,6 +285,46 @@ def word_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(terms.word_cloud(_unigrams(spark, sf_dir)))
 
 
+@query
+def mined_phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of words that are used twenty times or more, counted as phrases wherever they stand in the texts."""
+    mined = terms.minimum_frequency(_grams(spark, sf_dir, 2), 20).select("term")
+    a = articles(spark, sf_dir)
+    return phrases.many_phrase_counts(a, [(F.col("Title"), 2), (F.col("Abstract"), 1)], mined)
+
+
+def _run_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents without spaces and signs, as a script without spaces has them."""
+    line = F.explode(F.split(F.lower("text"), "\n"))
+    return t(spark, sf_dir, "documents").select("doc_id", line.alias("line")).select("doc_id", F.regexp_replace("line", "[^a-z]+", "").alias("run"))
+
+
+def _dictionary(spark: SparkSession, sf_dir: str, size: int = 3000) -> DataFrame:
+    """(word, freq): the most frequent words, ties by word."""
+    counts = terms.term_counts(doc_tokens(spark, sf_dir), F.col("tokens"))
+    return written(counts.orderBy(F.desc("freq"), "term").limit(size).select(F.col("term").alias("word"), "freq"), "dictionary")
+
+
+@query
+def word_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of run-together lines, by the best path through the graph of dictionary words."""
+    cut = segment.word_segmenter(_dictionary(spark, sf_dir))
+    return terms.term_counts(_run_together(spark, sf_dir), cut(F.col("run")))
+
+
+@query
+def recut_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words before and after the phrases mined from the first cut become words of the dictionary."""
+    runs, base = _run_together(spark, sf_dir), _dictionary(spark, sf_dir)
+    first = written(runs.select(segment.word_segmenter(base)(F.col("run")).alias("k")), "cut")
+    words = written(terms.term_counts(first, F.col("k")), "words")
+    mined = terms.collocations(terms.term_counts(first, tx.ngrams(F.col("k"), 2)), words, 2, 10, 20.0, above_expected=True)
+    mined = mined.select(F.replace("term", F.lit(" "), F.lit("")).alias("word"))
+    again = terms.term_counts(runs, segment.word_segmenter(segment.extended(base, mined))(F.col("run")))
+    both = words.withColumnRenamed("freq", "before").join(again.withColumnRenamed("freq", "after"), "term", "full")
+    return both.join(mined.select(F.col("word").alias("term"), F.lit(True).alias("mined")).distinct(), "term", "left").select("term", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"), F.coalesce("mined", F.lit(False)).alias("mined"))
+
+
 @query
 def phrase_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.filtered_top(_grams(spark, sf_dir, 2), 200, ~F.contains("term", F.lit("an")), 10)
@@ -405,17 +458,19 @@ def _seed_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(-1 - i, i, f, s) for i, (f, s) in enumerate(SEEDS)], "doc_id long, idx int, field string, text string")
 
 
-def _weights(spark: SparkSession, sf_dir: str, tokens, max_features: int = 30_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _weights(spark: SparkSession, sf_dir: str, tokens, expand=None, max_features: int = 30_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """TF-IDF rows of the documents and the seed texts, the documents and the seeds; `expand` makes terms of tokens."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "text")
     seeds = _seed_rows(spark)
     both = docs.unionByName(seeds.select("doc_id", "text"))
-    tf = terms.document_terms(both.select("doc_id", tokens(F.col("text")).alias("k")), "doc_id", F.col("k"))
-    return cl.tfidf(tf, "doc_id", docs.count() + len(SEEDS), max_features), docs, seeds
+    cut = written(both.select("doc_id", tokens(F.col("text")).alias("k")), "tokens")
+    tf = cl.vocabulary_counts(cut, "doc_id", F.col("k") if expand is None else expand(F.col("k")), max_features)
+    forget(cut)
+    return cl.tfidf(tf, "doc_id", docs.count() + len(SEEDS)), docs, seeds
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = lambda c: tx.let(tx.plain_tokens(c), lambda k: F.concat(k, tx.ngrams(k, 2), tx.ngrams(k, 3)))
-    w, docs, seeds = _weights(spark, sf_dir, grams)
+    w, docs, seeds = _weights(spark, sf_dir, tx.plain_tokens, lambda k: F.concat(k, tx.ngrams(k, 2), tx.ngrams(k, 3)))
     scores = cl.prototype_scores(w, "doc_id", docs, seeds.select("idx", "field"), seeds.select("doc_id", "idx"))
     return cl.assign(cl.best_field(scores, "doc_id"), "Methods")
 
@@ -440,7 +495,7 @@ def classify_legacy_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def classify_charngram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, docs, seeds = _weights(spark, sf_dir, lambda c: F.concat(*[tx.char_ngrams(c, n) for n in (2, 3, 4)]), 30_000)
+    w, docs, seeds = _weights(spark, sf_dir, F.lower, lambda c: F.concat(*[tx.char_ngrams(c, n) for n in (2, 3, 4)]))
     scores = cl.prototype_scores(w, "doc_id", docs, seeds.select("idx", "field"), seeds.select("doc_id", "idx"))
     return rounded(cl.review_flag(cl.best_field(scores, "doc_id")))
 
@@ -462,6 +517,54 @@ def sensitivity_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inference.pearson(panel.panel(all_scopes, "year", "field", ["scope"]), "year", ["scope"]))
 
 
+def _scope_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scope, year, field, n) of the orders: all, those of large accounts' labels merged, and those of a clear total."""
+    o = t(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("raw"), "o_totalprice")
+    final = F.when(F.col("o_totalprice") < 20_000, F.lit("4-NOT SPECIFIED")).otherwise(F.col("raw"))
+    parts = {"final": o.withColumn("field", final), "raw": o.withColumn("field", F.col("raw")), "high_confidence": o.where("o_totalprice >= 50000").withColumn("field", F.col("raw"))}
+    return panel.panel(panel.scopes(parts), "year", "field", ["scope"])
+
+
+SCOPES = ["final", "raw", "high_confidence"]
+
+
+@query
+def scope_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = inference.logit_trends(_scope_panel(spark, sf_dir), ["scope"])
+    return rounded(out.select("scope", "field", "beta", "se", "z", "p", "q", "odds_ratio"))
+
+
+@query
+def scope_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(study.scope_tests(_scope_panel(spark, sf_dir)))
+
+
+def _study(spark: SparkSession, sf_dir: str) -> study.Study:
+    return study.scope_study(written(_scope_panel(spark, sf_dir), "panel"), SCOPES, 1000, 500, 20260810)
+
+
+@query
+def scope_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend, change point and low window of three fields in three scopes, with resampled p, q and stability."""
+    return rounded(study.key_signals(_study(spark, sf_dir), "1-URGENT", "5-LOW", "3-MEDIUM"))
+
+
+@query
+def scope_signal_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effects of the signals, a row for each signal and a column for each scope."""
+    p = _scope_panel(spark, sf_dir)
+    bare = study.Study(p, inference.logit_trends(p, ["scope"]).withColumn("share_or_above_1", F.lit(None).cast("double")), *[
+        found.withColumns({"scan_p": F.lit(None).cast("double"), "scan_q": F.lit(None).cast("double"), name: F.lit(None).cast("double")})
+        for found, name in ((scans.best(scans.split_scan(p, ["scope"]), ["scope"], F.abs("z"), "cut"), "cut_frequency"), (scans.best(scans.window_scan(p, ["scope"]), ["scope"], F.col("z"), "start"), "window_frequency"))
+    ])
+    return rounded(study.by_scope(study.key_signals(bare, "1-URGENT", "5-LOW", "3-MEDIUM"), SCOPES))
+
+
+@query
+def fixed_window_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scans.window_scan(order_panel(spark, sf_dir)).where(F.col("start") == SPLIT - 3))
+
+
 @query
 def classify_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t(spark, sf_dir, "embeddings")
@@ -472,9 +575,18 @@ def classify_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("doc"), "embedding")
-    out = cl.pool_chunks(e, "doc", "embedding").select("doc", F.posexplode("vector").alias("pos", "x"))
-    return rounded(out)
+    """Documents in chunks of 256 words, each with a vector (those given, dealt by document and chunk), pooled again."""
+    vectors = t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = vectors.count()
+    parts = chunks.chunk_texts(t(spark, sf_dir, "documents"), "doc_id", "text", 256)
+    parts = parts.select("doc_id", ((F.col("doc_id") * 7 + F.col("chunk")) % n).alias("vec_id")).join(vectors, "vec_id")
+    return rounded(cl.pool_chunks(parts, "doc_id", "embedding").select("doc_id", F.posexplode("vector").alias("pos", "x")))
+
+
+@query
+def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.chunk_texts(t(spark, sf_dir, "documents"), "doc_id", "text", 256)
+    return out.select("doc_id", "chunk", "n_tokens", F.md5("chunk_text").alias("text_md5"))
 
 
 # panels and tests -----------------------------------------------------------------------------------------------------
@@ -508,7 +620,7 @@ def group_annual_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pearson_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(inference.pearson(order_panel(spark, sf_dir)))
+    return rounded(inference.pearson_with_p(order_panel(spark, sf_dir)))
 
 
 @query
@@ -519,7 +631,7 @@ def pooled_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def logit_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(inference.logit_trends(order_panel(spark, sf_dir)).select("field", "beta", "se", "odds_ratio", "or_low", "or_high", "percent_change"))
+    return rounded(inference.logit_trends(order_panel(spark, sf_dir)).select("field", "beta", "se", "z", "p", "q", "odds_ratio", "or_low", "or_high", "percent_change"))
 
 
 @query
@@ -530,7 +642,7 @@ def leave_one_year_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def logit_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = inference.interactions(order_panel(spark, sf_dir, ["grp"]), "grp", 0, 1)
-    return rounded(out.select("field", "coefficient", "se", "ratio", "ratio_low", "ratio_high"))
+    return rounded(out.select("field", "coefficient", "se", "p", "q", "ratio", "ratio_low", "ratio_high"))
 
 
 @query
@@ -543,6 +655,18 @@ def group_lr_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inference.group_tests(order_panel(spark, sf_dir, ["grp"]), "grp"))
 
 
+@query
+def individual_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logits of single orders: year alone as dummies, group x year as dummies, and no design, with their tests."""
+    rows = t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("field"), F.year("o_orderdate").alias("year"), (F.col("o_custkey") % 2).alias("grp"))
+    years = sorted(r[0] for r in rows.select("year").distinct().collect())  # a handful
+    one, by_year, by_group = likelihood.intercept(), likelihood.dummies("year", years), likelihood.dummies("grp", [0, 1])
+    designs = {"none": one, "year": one + by_year, "group and year": one + by_year + by_group + likelihood.crossed(by_group, by_year)}
+    fits = {name: likelihood.fit_multinomial(rows, "field", d) for name, d in designs.items()}
+    out = [(name, f.n, f.loglik, *(likelihood.likelihood_ratio(f, fits["none"]) if name != "none" else (0.0, 0, 1.0))) for name, f in fits.items()]
+    return rounded(spark.createDataFrame(out, "design string, n long, loglik double, lr double, df int, p double"))
+
+
 @query
 def saturated_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inference.saturated_loglik(order_panel(spark, sf_dir, ["grp"]), ["grp", "year"]))
@@ -621,7 +745,7 @@ def permutation_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def permutation_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, reps = orders_rows(spark, sf_dir), resample.replicates(spark, 10)
-    panels = resample.permuted_panels(rows, reps, 12, "o_orderkey", "year", "field").persist()
+    panels = written(resample.permuted_panels(rows, reps, 12, "o_orderkey", "year", "field"), "panels")
     p = order_panel(spark, sf_dir)
     z = resample.permutation_p(resample.scan_statistics(p, kind="z", min_side=2), resample.scan_statistics(panels, ["rep"], "z", 2), ["field"], "stat")
     w = resample.permutation_p(resample.window_statistics(p), resample.window_statistics(panels, ["rep"]), ["field"], "stat")
@@ -651,15 +775,13 @@ def _dtm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def concentration_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = concentration.term_weights(_dtm(spark, sf_dir), "doc_id", "lang")
+    w = _dtm(spark, sf_dir).withColumn("w", F.col("tf").cast("double"))
     return rounded(concentration.concentration(w, "doc_id", "lang", doc_counts(spark, sf_dir)))
 
 
 def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dtm = _dtm(spark, sf_dir)
-    specs = ("frequency", "presence", "paper", "year_paper")
-    w = panel.scopes({s: concentration.term_weights(dtm, "doc_id", "lang", s, "year") for s in specs}).withColumnRenamed("scope", "spec")
-    return concentration.concentration(w, "doc_id", "lang", doc_counts(spark, sf_dir), ["spec"])
+    w = concentration.weighted_terms(_dtm(spark, sf_dir), "doc_id", "lang", "year", ["frequency", "presence", "paper", "year_paper"])
+    return concentration.concentration_of(w, "lang", doc_counts(spark, sf_dir), ["spec"])
 
 
 @query
@@ -667,6 +789,25 @@ def spec_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_specs(spark, sf_dir))
 
 
+@query
+def spec_table_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight specifications: words and pairs under four weightings, pairs alone, keyword phrases, no label words, and the
+    non-ambiguous documents; terms in five documents at least and 85 % of them at most."""
+    a = articles(spark, sf_dir).select("doc_id", "lang", (F.col("doc_id") % 6 + 2020).cast("int").alias("year"), (F.length("text") >= 200).alias("clear"), tx.without(tx.english_tokens(F.col("text")), STOPWORDS).alias("k"), tx.keyword_phrases(F.col("Title"), STOPWORDS).alias("p"))
+    k, both = F.col("k"), lambda c: F.concat(c, tx.ngrams(c, 2))
+    variants = {"full": both(k), "pairs": tx.ngrams(k, 2), "keywords": F.col("p"), "no_labels": both(tx.without(k, LABEL_WORDS)), "clear": F.when(F.col("clear"), both(k))}
+    rows = a.select("doc_id", "lang", "year", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), v.alias("k")) for n, v in variants.items()])).alias("v"))
+    rows = rows.select("doc_id", "lang", "year", F.col("v.variant").alias("variant"), F.col("v.k").alias("k")).where("k IS NOT NULL")
+    sizes = rows.groupBy("variant", "lang").agg(F.count("*").alias("n_docs"))
+    dtm = written(terms.document_terms(rows, "doc_id", F.col("k"), ["lang", "year", "variant"]), "dtm")
+    total = sizes.groupBy("variant").agg(F.sum("n_docs").alias("n"))
+    keep = terms.document_frequency(dtm, ["variant"]).join(total, "variant").where("df >= 5 AND df <= 0.85 * n").select("variant", "term")
+    w = concentration.weighted_terms(dtm.join(keep, ["variant", "term"], "left_semi"), "doc_id", "lang", "year", ["frequency", "presence", "paper", "year_paper"], ["variant"])
+    w = w.where("variant = 'full' OR spec = 'frequency'").withColumn("spec", F.when(F.col("variant") == "full", F.col("spec")).otherwise(F.col("variant")))
+    names = F.explode(F.when(F.col("variant") == "full", F.array(*[F.lit(x) for x in ("frequency", "presence", "paper", "year_paper")])).otherwise(F.array("variant")))
+    return rounded(concentration.concentration_of(w, "lang", sizes.select(names.alias("spec"), "lang", "n_docs"), ["spec"], sizes=True))
+
+
 def _langs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, "de"), (1, "en"), (2, "es"), (3, "fr")], "idx int, lang string")
 
@@ -697,11 +838,9 @@ def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _share20(dtm: DataFrame, labels: DataFrame) -> DataFrame:
     """(rep, lang, v): top-20 share of the documents' terms under replicate labels."""
     x = labels.join(dtm.select("doc_id", "term", "tf"), "doc_id").groupBy("rep", "lang", "term").agg(F.sum("tf").alias("w"))
-    from pyspark.sql.window import Window
-
-    mine = Window.partitionBy("rep", "lang")
-    s = x.withColumns({"s": F.col("w") / F.sum("w").over(mine), "r": F.row_number().over(mine.orderBy(F.desc("w"), "term"))})
-    return s.where("r <= 20").groupBy("rep", "lang").agg(F.sum("s").alias("v"))
+    total = x.groupBy("rep", "lang").agg(F.sum("w").alias("total"))
+    top = concentration.heaviest(x, ["rep", "lang"], 20, F.desc("w"), F.asc("term")).groupBy("rep", "lang").agg(F.sum("w").alias("w"))
+    return top.join(total, ["rep", "lang"]).select("rep", "lang", (F.col("w") / F.col("total")).alias("v"))
 
 
 def _difference(shares: DataFrame, a: str, b: str) -> DataFrame:
@@ -741,7 +880,7 @@ def rarefaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pair_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b, metric, value_a, value_b, diff, winner) of all pairs of languages."""
-    w = concentration.term_weights(_dtm(spark, sf_dir), "doc_id", "lang")
+    w = _dtm(spark, sf_dir).withColumn("w", F.col("tf").cast("double"))
     metrics = concentration.concentration(w, "doc_id", "lang", doc_counts(spark, sf_dir))
     out = concentration.compare_pairs(metrics, "lang", concentration.all_pairs(_langs(spark), "lang"))
     return out.select("a", "b", "metric", "value_a", "value_b", F.round(F.col("value_a") - F.col("value_b"), 12).alias("diff"), "winner")
@@ -774,7 +913,7 @@ def pair_scan_fast(spark: SparkSession, sf_dir: str, reps: int = 5_000) -> DataF
 def rarefaction_fast(spark: SparkSession, sf_dir: str, reps: int = 5_000) -> DataFrame:
     keys = ["a", "b", "metric"]
     d = _draws(spark, sf_dir, concentration.METRICS, reps, 20260831, equal_size=True)
-    d = d.withColumn("more_a", F.when(F.col("metric") == "norm_entropy", -F.col("diff")).otherwise(F.col("diff"))).persist()
+    d = d.withColumn("more_a", F.when(F.col("metric") == "norm_entropy", -F.col("diff")).otherwise(F.col("diff")))
     share = resample.replicate_summary(d, keys, "more_a").select(*keys, F.col("share_positive").alias("share_a_more"))
     return rounded(resample.replicate_summary(d, keys, "diff").drop("share_positive").join(share, keys).withColumn("reps", F.lit(reps)))
 
@@ -782,14 +921,24 @@ def rarefaction_fast(spark: SparkSession, sf_dir: str, reps: int = 5_000) -> Dat
 # streaming ------------------------------------------------------------------------------------------------------------
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.readStream.schema(t(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 @query
 def stream_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
+    stream = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = counts_to_files(stream, "ts", ["event_type"], new_folder(spark, "events"), new_folder(spark, "progress"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "freq")
 
-    from ..streaming.terms import run_to_memory, windowed_counts
 
-    schema = t(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    out = run_to_memory(windowed_counts(stream, "ts", ["event_type"]), f"events_{uuid.uuid4().hex}")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "freq")
+@query
+def stream_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream, classified by a model that was frozen on them and the seed texts."""
+    seeds = _seed_rows(spark)
+    both = t(spark, sf_dir, "documents").select("doc_id", "text").unionByName(seeds.select("doc_id", "text"))
+    grams = lambda k: F.concat(k, tx.ngrams(k, 2), tx.ngrams(k, 3))
+    cut = written(both.select("doc_id", tx.plain_tokens(F.col("text")).alias("k")), "tokens")
+    model = freeze(cut, "doc_id", grams(F.col("k")), seeds)
+    stream = _stream(spark, sf_dir, "documents").select("doc_id", tx.plain_tokens(F.col("text")).alias("k"))
+    return rounded(classify_stream(stream, "doc_id", grams(F.col("k")), model, "Methods", new_folder(spark, "labels"), new_folder(spark, "progress")))

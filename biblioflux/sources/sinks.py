@@ -6,7 +6,7 @@ import json
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,11 @@ def markdown_report(title: str, sections: Mapping[str, DataFrame | str], notes:
     for name, body in sections.items():
         parts += [f"## {name}", markdown_table(body) if isinstance(body, DataFrame) else body]
     return "\n\n".join([*parts, notes] if notes else parts) + "\n"
+
+
+def write_markdown(text: str, path: str, spark: SparkSession) -> None:
+    """A text as one file, on any file system that Spark writes to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()

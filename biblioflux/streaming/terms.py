@@ -1,4 +1,4 @@
-"""Streaming forms: windowed term and panel counts, duplicates within a watermark, frozen-model classification."""
+"""Streaming forms: windowed term and panel counts, duplicates within a watermark."""
 
 from __future__ import annotations
 
@@ -31,6 +31,18 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def counts_to_files(stream: DataFrame, time: str, keys: list[str], path: str, checkpoint: str, window: str = "1 day") -> DataFrame:
+    """(window_start, keys..., freq) over all that the source has now, late rows too. Each batch adds its own counts as files
+    below `path`, and the files are summed; no state is kept, and a batch that is run again replaces its own files."""
+    w = F.window(time, window)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("freq")).select(F.col("w.start").alias("window_start"), *keys, "freq").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(path).groupBy("window_start", *keys).agg(F.sum("freq").alias("freq"))
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a query over what its source has now and return its memory table; for tests and small results."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
