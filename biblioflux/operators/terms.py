@@ -18,6 +18,13 @@ from .lemmas import lemmas
 from .phrases import many_phrase_counts
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is where it has as many partitions as the cluster has cores, or more; else dealt out to so many, since the
+    work on terms is many times that of reading texts and a small file may be one partition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def term_counts(df: DataFrame, tokens: Column, by: list[str] = (), weight: Column | None = None) -> DataFrame:
     """(by..., term, freq): occurrences, or summed weights."""
     rows = df.select(*by, (weight if weight is not None else F.lit(1)).cast("long").alias("w"), F.explode(tokens).alias("term"))

@@ -47,6 +47,10 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.spread(t(spark, sf_dir, "documents"))
+
+
 def r6(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), 6) + F.lit(0.0)
@@ -57,7 +61,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     at = F.locate("\n", F.col("text"))
     return d.select(
         "doc_id", "lang", "source", "text",
@@ -78,7 +82,7 @@ def orders_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", "lang", tx.english_tokens(F.col("text")).alias("tokens"))
+    return texts(spark, sf_dir).select("doc_id", "lang", tx.english_tokens(F.col("text")).alias("tokens"))
 
 
 def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +195,7 @@ def top_terms_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     return terms.term_counts(d, F.concat(*[tx.char_ngrams(F.col("text"), n) for n in (2, 3, 4)]))
 
 
@@ -296,7 +300,7 @@ def mined_phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents without spaces and signs, as a script without spaces has them."""
     line = F.explode(F.split(F.lower("text"), "\n"))
-    return t(spark, sf_dir, "documents").select("doc_id", line.alias("line")).select("doc_id", F.regexp_replace("line", "[^a-z]+", "").alias("run"))
+    return texts(spark, sf_dir).select("doc_id", line.alias("line")).select("doc_id", F.regexp_replace("line", "[^a-z]+", "").alias("run"))
 
 
 def _dictionary(spark: SparkSession, sf_dir: str, size: int = 3000) -> DataFrame:
@@ -462,7 +466,7 @@ def _weights(spark: SparkSession, sf_dir: str, tokens, expand=None, max_features
     """TF-IDF rows of the documents and the seed texts, the documents and the seeds; `expand` makes terms of tokens."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "text")
     seeds = _seed_rows(spark)
-    both = docs.unionByName(seeds.select("doc_id", "text"))
+    both = texts(spark, sf_dir).select("doc_id", "text").unionByName(seeds.select("doc_id", "text"))
     cut = written(both.select("doc_id", tokens(F.col("text")).alias("k")), "tokens")
     tf = cl.vocabulary_counts(cut, "doc_id", F.col("k") if expand is None else expand(F.col("k")), max_features)
     forget(cut)
@@ -936,7 +940,7 @@ def stream_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream, classified by a model that was frozen on them and the seed texts."""
     seeds = _seed_rows(spark)
-    both = t(spark, sf_dir, "documents").select("doc_id", "text").unionByName(seeds.select("doc_id", "text"))
+    both = texts(spark, sf_dir).select("doc_id", "text").unionByName(seeds.select("doc_id", "text"))
     grams = lambda k: F.concat(k, tx.ngrams(k, 2), tx.ngrams(k, 3))
     cut = written(both.select("doc_id", tx.plain_tokens(F.col("text")).alias("k")), "tokens")
     model = freeze(cut, "doc_id", grams(F.col("k")), seeds)
