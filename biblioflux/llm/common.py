@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -80,6 +81,18 @@ def _clean() -> None:
             return
 
 
+def own_names(docs: DataFrame, inputs: dict[str, str], new: list[str], run: Callable[..., DataFrame]) -> DataFrame:
+    """run(inner, **inputs) over docs under column names of this function's own, which clash with no helper column and need
+    no quotes; what it returns has the given names again. Columns named as one of `new`, in any case, that are no input
+    are replaced: they are dropped first."""
+    taken = {c.lower() for c in new}
+    given = [c for c in docs.columns if c in inputs.values() or c.lower() not in taken]
+    inner = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"col_{i}") for i, c in enumerate(given)])
+    back = {f"col_{i}": c for i, c in enumerate(given)}
+    out = run(inner, **{k: f"col_{given.index(c)}" for k, c in inputs.items()})
+    return out.select(*[F.col(c).alias(back.get(c, c)) for c in out.columns])
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import own_names
+
 Q, EDIT_RATE = 10, 0.06
 #: Characters of benchmark text in one broadcast index (about 30 bytes each); a larger benchmark is taken in blocks.
 INDEX_CHARS = 4_000_000
@@ -214,12 +216,17 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / index_chars))
-    found: list[Column] = []
+    found: list = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
         index = spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in part], q, rate))
-        found.append(_marker(index)(F.col(text)))
-    return docs.withColumn(out, F.concat(*found) if len(found) > 1 else found[0])
+        found.append(_marker(index))
+
+    def run(inner: DataFrame, text: str) -> DataFrame:
+        marked = [f(F.col(text)) for f in found]
+        return inner.withColumn(out, F.concat(*marked) if len(marked) > 1 else marked[0])
+
+    return own_names(docs, {"text": text}, [out], run)
 
 
 def _marker(index):

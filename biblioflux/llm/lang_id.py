@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import own_names
+
 _WORD = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 5
 
@@ -179,4 +181,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", label: st
             labels, scores = s.score([t if isinstance(t, str) else None for t in x.tolist()])
             yield pd.DataFrame({"label": labels, "score": scores})
 
-    return docs.withColumn("__p", scored(F.col(text))).withColumns({label: F.col("__p.label"), score: F.col("__p.score")}).drop("__p")
+    def run(inner: DataFrame, text: str) -> DataFrame:
+        return inner.withColumn("p", scored(F.col(text))).select(*inner.columns, F.col("p.label").alias(label), F.col("p.score").alias(score))
+
+    return own_names(docs, {"text": text}, [label, score], run)

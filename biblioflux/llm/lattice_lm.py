@@ -21,10 +21,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, own_names
 
 HOT_WORDS = 250_000
 EM_ROUNDS = 2
@@ -252,6 +253,17 @@ def _hot(model: CorpusModel, limit: int) -> dict[bytes, tuple[float, float]]:
     return dict(zip(map(bytes, top["word"]), zip(np.log10(n + 1).tolist(), p.tolist(), strict=True), strict=True))
 
 
+def _some_texts(whole: pa.RecordBatch, rows: int = 1000, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most `rows` rows, and of about `size` bytes of text or one row."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(whole.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < whole.num_rows:
+        stop = int(np.searchsorted(held, (held[at - 1] if at else 0) + size, "right"))
+        stop = max(at + 1, min(stop, at + rows))
+        yield whole.slice(at, stop - at)
+        at = stop
+
+
 def score(docs: DataFrame, model: CorpusModel, text: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
     """docs without the text, with n_tokens, n_known, train_tokens, base_score and score (log10) of each whole text.
 
@@ -260,9 +272,13 @@ def score(docs: DataFrame, model: CorpusModel, text: str = "text", hot_words: in
     Repeated rows are scored apart; columns of these names that are there already are replaced, others stay. An empty
     table gives no rows.
     """
-    spark = docs.sparkSession
     mine = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kept = [c for c in docs.columns if c not in (text, *mine)]
+    return own_names(docs, {"text": text}, mine, lambda inner, text: _score(inner, model, text, hot_words))
+
+
+def _score(docs: DataFrame, model: CorpusModel, text: str, hot_words: int) -> DataFrame:
+    spark = docs.sparkSession
+    kept = [c for c in docs.columns if c != text]
     shared = spark.sparkContext.broadcast((_hot(model, hot_words), math.log10(model.end_share)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +287,7 @@ def score(docs: DataFrame, model: CorpusModel, text: str = "text", hot_words: in
         hot, end = shared.value
         uid = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
+            for batch in _some_texts(whole):
                 cut = [(x or "").encode("utf-8", "surrogatepass").lower().split() for x in batch.column(0).to_pylist()]
                 n_tokens, n_known, base, logp, words_out, tf_out = [], [], [], [], [], []
                 for words in cut:

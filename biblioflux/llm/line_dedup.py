@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import linked_groups, main_component, materialize, release
+from .common import linked_groups, main_component, materialize, own_names, release
 
 #: Characters of a run in lines whose words are longer than this on average.
 RUN, LONG_WORD = 8, 12
@@ -223,8 +223,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows; columns n_lines and n_removed are replaced if they are there, others stay. Lines are told apart by 64-bit
     hashes of their normalised text.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    docs = docs.select(*kept)
+    return own_names(docs, {"doc_id": doc_id, "text": text}, ["n_lines", "n_removed"], _dedup_lines)
+
+
+def _dedup_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    kept = list(docs.columns)
     gone = removed_lines(docs, doc_id, text).groupBy("doc_id", "row").agg(F.collect_set("line").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__gone")
     hashed = docs.withColumn("__h", F.xxhash64(text))

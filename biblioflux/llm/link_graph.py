@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, own_names
 
 #: Fixed value: an absolute or scheme-relative link in an attribute; the group is its host.
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
@@ -97,9 +97,13 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     pages count again; columns of these names are replaced, others stay; an empty table gives no rows. A host with a
     third of all pages is summed partially before it moves, and its pages meet its ranks in a join that AQE can split.
     """
-    mine = ("host", "path", "rule", "verdict", "trust", "distrust")
+    new = ["host", "path", "rule", "verdict", "trust", "distrust"]
+    return own_names(pages, {"url": url, "html": html}, new, lambda inner, url, html: _judge_pages(inner, rules, url, html, threshold, damping, rounds))
+
+
+def _judge_pages(pages: DataFrame, rules: list[tuple[str, str]], url: str, html: str, threshold: float, damping: float, rounds: int) -> DataFrame:
     u = F.col(url)
-    judged = pages.select(*[c for c in pages.columns if c not in (html, *mine)], host_of(u).alias("host"), path_of(u).alias("path"))
+    judged = pages.select(*[c for c in pages.columns if c != html], host_of(u).alias("host"), path_of(u).alias("path"))
     r = matching_rule(F.col("host"), F.col("path"), rules)
     judged = judged.withColumn("__r", r)
     seen = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), *[F.count_if(F.col("__r.verdict") == v).alias(v) for v in ("allow", "block")])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, own_names
 
 #: Share of rows that the estimates rest on; concentration steps; rows that a group needs for its own estimates.
 H, STEPS, MIN_ROWS = 0.75, 4, 50
@@ -173,6 +173,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     rows count again; ties at the share H go in together; an empty table gives no rows. Columns of these names are
     replaced, others stay.
     """
+    new = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
+    return own_names(docs, {"text": text, "lang": lang, "source": source}, new, _judge)
+
+
+def _judge(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     stats = materialize(_vector(text_stats(docs, text)).withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)), "stats")
     keys = {"__k2": _key(2, lang, source), "__k1": _key(1, lang), "__k0": _key(0)}
     rows = stats.where("NOT base_failed").select(F.explode(F.array(*keys.values())).alias("key"), *_NAMES)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, own_names
 
 #: Crates for each shard; the crate's capacity is a shard's mean size divided by this.
 CRATES = 64
@@ -162,8 +162,13 @@ def shard_groups(rows: DataFrame, key: list[str], size: str, shards: int) -> Dat
     slices, so a group with a third of all rows is spread over many tasks; rows in a slice are ordered by their
     content, and equal rows get different slots.
     """
+    inputs = {f"key_{i}": c for i, c in enumerate(key)} | {"size": size}
+    return own_names(rows, inputs, ["shard", "slot"], lambda inner, size, **keys: _shard_groups(inner, list(keys.values()), size, shards))
+
+
+def _shard_groups(rows: DataFrame, key: list[str], size: str, shards: int) -> DataFrame:
     spark = rows.sparkSession
-    given = [c for c in rows.columns if c not in ("shard", "slot")]
+    given = list(rows.columns)
     order = [F.xxhash64(*given), *[F.col(c) for c in given]]
     rows = rows.select(*given, F.struct(*key).alias("__k"), F.col(size).cast("long").alias("__s"), F.pmod(F.xxhash64(*given, F.lit(7)), F.lit(SLICES)).cast("int").alias("__c"))
     rows = materialize(rows, "rows")
