@@ -184,7 +184,8 @@ def _open_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one component hold, or none that is apart from h, are first of all and left out of the join, as no pair meets there.
     """
     hubs = placed.groupBy("c").agg(F.max(F.struct("meets", "id", "n")).alias("p"))
-    lead = placed.join(hubs, "c").groupBy("key").agg(F.max(F.struct("p.meets", "p.id", "p.n", "c")).alias("p"))
+    # once for each bucket and component: the members of the largest component would all meet at its hub
+    lead = placed.select("key", "c").distinct().join(hubs, "c").groupBy("key").agg(F.max(F.struct("p.meets", "p.id", "p.n", "c")).alias("p"))
     lead = lead.select("key", F.col("p.id").alias("hub"), F.col("p.n").alias("nh"), F.col("p.c").alias("hub_c"))
     met = placed.join(lead, "key").where("id <> hub").select("id", "n", "c", "hub", "nh", "hub_c").distinct()
     both = met.join(sets.select("id", F.col("set").alias("x")), "id").join(sets.select(F.col("id").alias("hub"), F.col("set").alias("h")), "hub")

@@ -61,3 +61,29 @@ def test_pipeline(spark, tmp_path):
     assert set(got.doc_id) == set(out) and got.length.sum() == sum(len(full.encode(t, add_special_tokens=False).ids) + 1 for t in out.values())
     assert got.groupby("sequence_id").length.sum().max() <= 2048
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(got)
+
+
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    """Null and repeated ids, equal rows, null labels, names that helpers have: nothing crashes, and clean rows stay."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = [(i, "\n".join(prose(rng, 14) for _ in range(4)), "en" if i % 2 else "fr", "s") for i in range(12)]
+    rows += [(None, prose(rng, 40), "en", "s"), (None, prose(rng, 40), None, None), (None, None, "en", None), (3, prose(rng, 50), "fr", "s"), (20, prose(rng, 45), "en", "t"), (20, prose(rng, 45), "en", "t")]
+    same = (30, prose(rng, 60), "en", "s")
+    rows += [same, same]
+    odd = ["__lang", "__score", "__matches", "n_lines", "n_removed", "told", "places", "a`b", "__gone", "col_0"]
+    schema = ", ".join([SCHEMA, *[f"`{c.replace('`', '``')}` int" for c in odd]])
+    docs = spark.createDataFrame([(*r, *range(len(odd))) for r in rows], schema)
+    spark.createDataFrame([(1, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns, none = docs.columns, docs.limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs, none = (corpus_pipeline.materialize(stage(spark, d, str(tmp_path)), name) for d in (docs, none))
+        assert none.count() == 0
+        if k < 4:
+            assert docs.columns == none.columns == columns
+            got = docs.collect()
+            assert all([r[c] for c in odd] == list(range(len(odd))) for r in got)
+            assert {r["text"] for r in got} == {r[1] for r in rows if r[1]}
+            assert len(got) == sum(1 for r in rows if r[1])
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} == {r[0] for r in rows if r[1]}
