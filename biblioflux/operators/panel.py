@@ -37,6 +37,25 @@ def overall_shares(p: DataFrame) -> DataFrame:
     return by_field.crossJoin(F.broadcast(total)).select("field", "n", (F.col("n") * 100.0 / F.col("t")).alias("percent"))  # one row
 
 
+def bars(p: DataFrame, dim: DataFrame | None = None) -> DataFrame:
+    """(place, field, percent, label): a bar for each field, in the order of the domain (idx, field) or of the names, with
+    the label that stands above it."""
+    out = overall_shares(p)
+    if dim is not None:
+        out = out.join(dim.select("idx", "field"), "field", "left")
+    order = [*([F.col("idx").asc_nulls_last()] if dim is not None else []), F.asc("field")]
+    label = F.concat(F.format_string("%.1f", "percent"), F.lit("%"))
+    return out.select(F.row_number().over(Window.orderBy(*order)).alias("place"), "field", "percent", label.alias("label"))  # a row for each field
+
+
+def panels(p: DataFrame, fields: list[str]) -> DataFrame:
+    """(panel, field, year, percent, label): the yearly shares of the given fields, a panel for each, in their order."""
+    place = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field")).cast("int").alias("panel")
+    x = shares(p, ["year"]).where(F.col("field").isin(*fields))
+    percent = F.col("share") * 100
+    return x.select(place, "field", "year", percent.alias("percent"), F.concat(F.format_string("%.1f", percent), F.lit("%")).alias("label"))
+
+
 def pivot_panel(p: DataFrame, fields: list[str], value: str = "n") -> DataFrame:
     return p.groupBy("year").pivot("field", fields).agg(F.first(value))
 

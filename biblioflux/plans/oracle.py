@@ -299,6 +299,10 @@ PANG = f"{ORD}, {grid('o', 'grp')}"
 ORACLE["panel_counts"] = f"WITH {PAN} SELECT year, field, n FROM pn"
 ORACLE["panel_shares"] = f"WITH {PAN}, s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY year) AS BIGINT) AS total FROM pn) SELECT year, field, n, total, {r6('n / total')} AS share FROM s"
 ORACLE["overall_shares"] = f"WITH {PAN} SELECT field, CAST(sum(n) AS BIGINT) AS n, {r6('sum(n) * 100.0 / (SELECT sum(n) FROM pn)')} AS percent FROM pn GROUP BY field"
+ORACLE["bar_shares"] = f"""WITH {PAN}, b AS (SELECT field, sum(n) * 100.0 / (SELECT sum(n) FROM pn) AS percent FROM pn GROUP BY field)
+SELECT CAST(row_number() OVER (ORDER BY coalesce(list_position({lst(PRIORITIES)}, field), 99), field) AS INTEGER) AS place, field, {r6('percent')} AS percent, printf('%.1f', CAST(percent AS DOUBLE)) || '%' AS label FROM b"""
+ORACLE["three_panels"] = f"""WITH {PAN}, s AS (SELECT *, 100.0 * n / sum(n) OVER (PARTITION BY year) AS percent FROM pn)
+SELECT CAST(list_position(['1-URGENT', '5-LOW', '3-MEDIUM'], field) AS INTEGER) AS panel, field, year, {r6('percent')} AS percent, printf('%.1f', CAST(percent AS DOUBLE)) || '%' AS label FROM s WHERE field IN ('1-URGENT', '5-LOW', '3-MEDIUM')"""
 ORACLE["panel_pivot"] = f"WITH {PAN} SELECT year, " + ", ".join(f"CAST(sum(n) FILTER (field LIKE '{i}%') AS BIGINT) AS p{i}" for i in range(1, 6)) + " FROM pn GROUP BY year"
 ORACLE["group_annual_shares"] = f"WITH {PANG}, s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY grp, year) AS BIGINT) AS total FROM pn) SELECT grp, year, field, n, total, {r6('CASE WHEN total > 0 THEN n / total END')} AS share FROM s"
 ORACLE["pearson_chi2"] = f"WITH {PAN}, {chi2('pn', 'year', tail=True)}"

@@ -617,6 +617,16 @@ def panel_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.pivot_panel(p, ["p1", "p2", "p3", "p4", "p5"])
 
 
+@query
+def bar_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(panel.bars(order_panel(spark, sf_dir), domain(spark, PRIORITIES, "field")))
+
+
+@query
+def three_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(panel.panels(order_panel(spark, sf_dir), ["1-URGENT", "5-LOW", "3-MEDIUM"]))
+
+
 @query
 def group_annual_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(panel.shares(order_panel(spark, sf_dir, ["grp"]), ["grp", "year"]))

@@ -381,3 +381,22 @@ def test_scope_study(spark):
     assert wide["linear trend"] == (trends["u", "a"].odds_ratio, trends["v", "a"].odds_ratio)
     tests = {r.scope: r for r in s.overall.collect()}
     assert tests["u"].converged and tests["u"].lr_df == tests["u"].chi2_df // 5 and abs(tests["u"].n - 600) == 0
+
+
+def test_command_line_study_and_comparison(spark, tmp_path):
+    from biblioflux.__main__ import main
+
+    rng = random.Random(3)
+    rows = [(2020 + i % 6, rng.choice("abbc"), rng.choice("abc"), rng.random() * 0.1, rng.random() * 0.02) for i in range(400)]
+    df = spark.createDataFrame(rows, "year long, field string, raw_field string, score double, margin double")
+    df.write.parquet(f"{tmp_path}/in")
+    main(["study", "--input", f"{tmp_path}/in", "--output", f"{tmp_path}/out", "--permutations", "60", "--bootstraps", "40", "--seed", "5"], spark)
+    trends = spark.read.parquet(f"{tmp_path}/out/trends")
+    assert {r.scope for r in trends.select("scope").distinct().collect()} == {"final", "raw", "high_confidence"}
+    text = (tmp_path / "out" / "report.md").read_text()
+    assert "## Findings" in text and "Scope raw: 400 rows" in text and text.count("chi-square") == 3
+    df.where("year > 2020").select((F.col("year") + 0).alias("year"), "field").write.parquet(f"{tmp_path}/other")
+    main(["compare", "--cn", f"{tmp_path}/in", "--en", f"{tmp_path}/other", "--output", f"{tmp_path}/cmp"], spark)
+    tests = spark.read.parquet(f"{tmp_path}/cmp/group_tests")
+    assert tests.count() == 6 and {r.scope for r in tests.collect()} == {"all", "to_2024"}
+    assert spark.read.parquet(f"{tmp_path}/cmp/interactions").count() == 6
