@@ -104,11 +104,12 @@ def let(value: Column, f) -> Column:
 
 
 def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
-    """n-grams of neighbouring tokens; none if there are fewer than n."""
+    """n-grams of neighbouring tokens; none if there are fewer than n. The tokens are laid beside themselves, shifted, once:
+    a slice for each n-gram would copy all tokens each time, and work would grow with the square of a text's length."""
 
     def spans(k: Column) -> Column:
-        all_ = F.transform(F.sequence(F.lit(1), F.greatest(F.size(k) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(k, i, n), sep))
-        return F.when(F.size(k) >= n, all_).otherwise(F.array().cast("array<string>"))
+        beside = F.arrays_zip(*[F.slice(k, i + 1, F.greatest(F.size(k) - n + 1, F.lit(0))).alias(f"t{i}") for i in range(n)])
+        return F.when(F.size(k) >= n, F.transform(beside, lambda x: F.concat_ws(sep, *[x[f"t{i}"] for i in range(n)]))).otherwise(F.array().cast("array<string>"))
 
     return let(tokens, spans)
 
@@ -116,7 +117,12 @@ def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
 def char_ngrams(c: Column, n: int) -> Column:
     """n-grams of characters, spaces and signs included, lower-cased; characters are cut apart once, so the work is
     in proportion to the length."""
-    return ngrams(F.filter(F.split(F.lower(c), ""), lambda x: x != ""), n, "")
+    return all_char_ngrams(c, [n])
+
+
+def all_char_ngrams(c: Column, sizes: list[int]) -> Column:
+    """char_ngrams() of several sizes in one array."""
+    return let(F.filter(F.split(F.lower(c), ""), lambda x: x != ""), lambda k: F.concat(*[ngrams(k, n, "") for n in sizes]))
 
 
 def occurrences(text: Column, phrase: Column) -> Column:

@@ -67,16 +67,24 @@ def tfidf(tf: DataFrame, doc: str, n_docs: int) -> DataFrame:
     return weighted(tf, doc, inverse_frequency(tf, n_docs))
 
 
-def prototype_scores(weights: DataFrame, doc: str, docs: DataFrame, fields: DataFrame, prototype_ids: DataFrame) -> DataFrame:
+def prototype_vectors(tf: DataFrame, doc: str, idf: DataFrame, prototype_ids: DataFrame) -> DataFrame:
+    """(term, idx, v): unit vectors of the seed texts in tf; prototype_ids maps their ids to idx."""
+    own = weighted(tf.join(prototype_ids.select(doc), doc, "left_semi"), doc, idf)
+    return own.join(prototype_ids, doc).select("term", "idx", F.col("weight").alias("v"))
+
+
+def prototype_scores(tf: DataFrame, doc: str, idf: DataFrame, docs: DataFrame, fields: DataFrame, prototypes: DataFrame) -> DataFrame:
     """(doc, idx, field, score) for every document and field: dot products of unit vectors, 0 where no term is shared.
 
-    prototype_ids maps the ids of the seed texts in weights to idx. The seeds' few vectors are the small side; the
-    documents' table is joined by term and summed before anything else moves.
+    The few vectors of prototypes (term, idx, v) meet the terms as one row for each term, so a document's length and its
+    product with every field are sums over one pass; no document's vector is put together.
     """
-    seeds = weights.join(prototype_ids, doc, "left_semi").join(prototype_ids, doc).select("term", "idx", F.col("weight").alias("v"))
-    own = weights.join(prototype_ids, doc, "left_anti")
-    dots = own.join(seeds, "term").groupBy(doc, "idx").agg(F.sum(F.col("weight") * F.col("v")).alias("score"))
-    grid = docs.select(doc).crossJoin(fields.select("idx", "field"))  # the fields are a handful of labels
+    own = [r["idx"] for r in fields.select("idx").distinct().collect()]  # a handful of labels
+    v = prototypes.groupBy("term").agg(*[F.sum(F.when(F.col("idx") == i, F.col("v"))).alias(f"v{i}") for i in own])
+    rows = tf.join(idf, "term").withColumn("w", (1 + F.ln("tf")) * F.col("idf")).join(v, "term", "left")
+    sums = rows.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.sum(F.col("w") * F.col(f"v{i}")).alias(f"v{i}") for i in own])
+    dots = sums.select(doc, F.explode(F.array(*[F.struct(F.lit(i).alias("idx"), (F.col(f"v{i}") / F.col("norm")).alias("score")) for i in own])).alias("x")).select(doc, "x.*")
+    grid = docs.select(doc).crossJoin(F.broadcast(fields.select("idx", "field")))
     return grid.join(dots, [doc, "idx"], "left").select(doc, "idx", "field", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

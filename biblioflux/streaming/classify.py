@@ -24,8 +24,7 @@ def freeze(docs: DataFrame, doc: str, tokens: Column, seeds: DataFrame, max_feat
     """The model of documents that hold the seed texts too; seeds has (doc, idx, field). All of it is written."""
     tf = cl.vocabulary_counts(docs, doc, tokens, max_features)
     idf = written(cl.inverse_frequency(tf, docs.count()), "idf")
-    own = cl.weighted(tf.join(seeds.select(doc), doc, "left_semi"), doc, idf)
-    prototypes = written(own.join(seeds.select(doc, "idx"), doc).select("term", "idx", F.col("weight").alias("v")), "prototypes")
+    prototypes = written(cl.prototype_vectors(tf, doc, idf, seeds.select(doc, "idx")), "prototypes")
     return Frozen(idf, prototypes, seeds.select("idx", "field"))
 
 
@@ -33,9 +32,7 @@ def classify(docs: DataFrame, doc: str, tokens: Column, model: Frozen) -> DataFr
     """(doc, idx, field, score) of new documents; terms that the model lacks are left out."""
     known = docs.select(doc, F.explode(tokens).alias("term")).join(model.idf.select("term"), "term", "left_semi")
     tf = known.groupBy(doc, "term").agg(F.count("*").alias("tf"))
-    dots = cl.weighted(tf, doc, model.idf).join(model.prototypes, "term").groupBy(doc, "idx").agg(F.sum(F.col("weight") * F.col("v")).alias("score"))
-    grid = docs.select(doc).crossJoin(F.broadcast(model.fields))  # the fields are a handful of labels
-    return grid.join(dots, [doc, "idx"], "left").select(doc, "idx", "field", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return cl.prototype_scores(tf, doc, model.idf, docs, model.fields, model.prototypes)
 
 
 def classify_stream(stream: DataFrame, doc: str, tokens: Column, model: Frozen, methods: str, path: str, checkpoint: str) -> DataFrame:
