@@ -32,3 +32,16 @@ def test_stream_reads_a_folder_of_files(spark, tmp_path):
     got = [sorted((r.doc_id, r.raw_field) for r in QUERIES["stream_classified"](spark, f"{tmp_path}/{d}").collect()) for d in ("many", "one")]
     assert got[0] == got[1] == [(i, "English" if i % 2 else "German") for i in range(6)]
     assert _stream(spark, f"{tmp_path}/many", "documents").isStreaming
+
+
+def test_runs_cut_together_equal_runs_cut_alone():
+    import random
+
+    from biblioflux.functions.segment import WordGraph
+
+    rng = random.Random(1)
+    for k in range(40):
+        words = {"".join(rng.choice("abc語") for _ in range(rng.randint(1, 5))): rng.randint(1, 4) for _ in range(rng.choice([0, 1, 5, 60]))}
+        texts = ["".join(rng.choice("abcdé語😀 -") for _ in range(rng.randint(0, 60))) for _ in range(rng.choice([1, 3, 200]))] + [None]
+        graph = WordGraph(words)
+        assert graph.cut_all(texts) == [None if t is None else graph.cut(t) for t in texts], k
