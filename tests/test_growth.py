@@ -45,3 +45,19 @@ def test_runs_cut_together_equal_runs_cut_alone():
         texts = ["".join(rng.choice("abcdé語😀 -") for _ in range(rng.randint(0, 60))) for _ in range(rng.choice([1, 3, 200]))] + [None]
         graph = WordGraph(words)
         assert graph.cut_all(texts) == [None if t is None else graph.cut(t) for t in texts], k
+
+
+def test_permuted_panels_by_buckets(spark, monkeypatch):
+    import hashlib
+    from collections import Counter
+
+    from biblioflux.operators import resample
+
+    monkeypatch.setattr(resample, "BUCKET_ROWS", 20)  # a replicate's rows in many tasks
+    rows = [(i * 3 % 301, 2000 + i % 4, "abc"[i % 3]) for i in range(300)]
+    got = resample.permuted_panels(spark.createDataFrame(rows, "id long, year int, field string").repartition(5), resample.replicates(spark, 3), 9, "id", "year", "field")
+    want = Counter()
+    for rep in range(3):
+        mixed = sorted(rows, key=lambda r: (hashlib.md5(f"9|{rep}|{r[0]}".encode()).hexdigest(), r[0]))
+        want.update((rep, r[1], m[2]) for r, m in zip(sorted(rows), mixed, strict=True))
+    assert {(r.rep, r.year, r.field): r.n for r in got.collect() if r.n} == want
