@@ -42,9 +42,11 @@ def top_vocabulary(docs: DataFrame, tokens: Column, k: int, cells: int = 1 << 20
         bound = least if n == k else 1
 
 
-def vocabulary_counts(docs: DataFrame, doc: str, tokens: Column, max_features: int) -> DataFrame:
-    """(doc, term, tf) of the max_features most frequent terms only, written: other terms never move."""
-    terms = top_vocabulary(docs, tokens, max_features).select("term")
+def vocabulary_counts(docs: DataFrame, doc: str, tokens: Column, max_features: int, counts: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf) of the max_features most frequent terms only, written: other terms never move. counts (term, freq) of
+    all terms are taken if given."""
+    top = top_vocabulary(docs, tokens, max_features) if counts is None else written(counts.orderBy(F.desc("freq"), "term").limit(max_features), "vocabulary")
+    terms = top.select("term")
     terms = F.broadcast(terms) if max_features <= 100_000 else terms  # so many rows at most
     return written(docs.select(doc, F.explode(tokens).alias("term")).join(terms, "term").groupBy(doc, "term").agg(F.count("*").alias("tf")), "tf")
 

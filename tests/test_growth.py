@@ -61,3 +61,23 @@ def test_permuted_panels_by_buckets(spark, monkeypatch):
         mixed = sorted(rows, key=lambda r: (hashlib.md5(f"9|{rep}|{r[0]}".encode()).hexdigest(), r[0]))
         want.update((rep, r[1], m[2]) for r, m in zip(sorted(rows), mixed, strict=True))
     assert {(r.rep, r.year, r.field): r.n for r in got.collect() if r.n} == want
+
+
+def test_char_gram_counts_against_plain_counts(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    from biblioflux.operators import terms
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abC éß語😀\n") for _ in range(rng.choice([0, 1, 3, 4, 50]))) for _ in range(60)]
+    texts += ["".join(map(chr, range(0x4E00, 0x9F00))) + "".join(chr(0xAC00 + i) for i in range(11_000)) + "".join(map(chr, range(0x20000, 0x21400))), None]  # more kinds than 15 bits hold
+    df = spark.createDataFrame([(x,) for x in texts], "t string").repartition(3)
+    low = [r[0] for r in df.select(F.lower("t")).collect()]
+    want = Counter(x[i : i + n] for x in low if x for n in (2, 3, 4) for i in range(len(x) - n + 1))
+    for most in (1 << 20, 97):
+        parts = [dict(zip(*b.to_pydict().values(), strict=True)) for b in terms._pieces(low, [2, 3, 4], most)] if most == 97 else [{r.term: r.freq for r in terms.char_gram_counts(df, F.col("t"), [2, 3, 4]).collect()}]
+        got = Counter()
+        for p in parts:
+            got.update(p)
+        assert got == want
