@@ -81,3 +81,23 @@ def test_char_gram_counts_against_plain_counts(spark, monkeypatch):
         for p in parts:
             got.update(p)
         assert got == want
+
+
+def test_pair_draws_move_terms_not_replicates(spark):
+    from biblioflux.operators import resample
+
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "de").otherwise("es").alias("lang"))
+    dtm = spark.range(600 * 40).select((F.col("id") % 600).alias("doc_id"), F.concat(F.lit("t"), F.floor(F.col("id") / 7).cast("string")).alias("term"), F.lit(2).alias("tf")).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+
+    def moved(reps: int) -> int:
+        """Bytes that all executors wrote to shuffles."""
+        written = lambda: sum(x.totalShuffleWrite() for x in scala_list(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+        before = written()
+        got = resample.pair_draws(dtm, docs, "doc_id", "lang", [("de", "es")], ["hhi"], reps, 3, per_job=10_000).count()
+        assert got == reps
+        return written() - before
+
+    def scala_list(x) -> list:
+        return [x.apply(i) for i in range(x.size())]
+
+    assert moved(4000) < 4 * moved(500)  # a count for each term and replicate: 8 times
