@@ -101,3 +101,17 @@ def test_pair_draws_move_terms_not_replicates(spark):
         return [x.apply(i) for i in range(x.size())]
 
     assert moved(4000) < 4 * moved(500)  # a count for each term and replicate: 8 times
+
+
+def test_variants_of_documents_do_not_move(spark, tmp_path):
+    from biblioflux.plans.queries import QUERIES
+
+    rows = [(i, None if i == 3 else f"Title one\nthe data of model {i % 2} and data again" + " and long" * 30, "en" if i % 2 else "de", "s", 30) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    variants = QUERIES["document_term_variants"](spark, str(tmp_path))
+    assert "Generate" not in plan(variants).split("RepartitionByExpression")[-1]  # each document moved once for each variant
+    full = QUERIES["spec_table_full"](spark, str(tmp_path))
+    windows = [x for x in plan(full).split("\n") if "windowspecdefinition(doc_id" in x]
+    assert windows and not any("variant" in x for x in windows)  # all variants were dealt by document again
+    assert {r.spec for r in full.collect()} == {"frequency", "presence", "paper", "year_paper", "pairs", "keywords", "no_labels", "clear"}
