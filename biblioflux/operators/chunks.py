@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of chunks that are handed on at once, about.
+BATCH_CHARS = 1 << 20
+
 Spans = Callable[[str], list[tuple[int, int]]]
 
 
@@ -25,11 +28,17 @@ def chunk_texts(df: DataFrame, doc: str, text: str, max_tokens: int, spans: Span
     """
     kind = df.schema[doc].dataType.simpleString()
 
+    def packed(ids: pa.Array, rows: list[list]) -> pa.RecordBatch:
+        own, *numbers, texts = rows
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(own, pa.int64())), *[pa.array(v, pa.int32()) for v in numbers], pa.array(texts, pa.string())], names=["d", "chunk", "start", "end", "n_tokens", "chunk_text"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, values = batch.column(0), batch.column(1)
             rows: list[list] = [[] for _ in range(6)]
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                value = value or ""
+            held = 0
+            for i in range(batch.num_rows):  # one text at a time, and chunks go on as they come
+                value = values[i].as_py() or ""
                 found = spans(value)
                 whole = len(found) <= max_tokens
                 for k in range(max(1, -(-len(found) // max_tokens))):
@@ -37,8 +46,11 @@ def chunk_texts(df: DataFrame, doc: str, text: str, max_tokens: int, spans: Span
                     lo, hi = (0, len(value)) if whole else (part[0][0], part[-1][1])
                     for to, v in zip(rows, (i, k, lo, hi, len(part), value[lo:hi]), strict=True):
                         to.append(v)
-            own, *numbers, texts = rows
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *[pa.array(v, pa.int32()) for v in numbers], pa.array(texts, pa.string())], names=["d", "chunk", "start", "end", "n_tokens", "chunk_text"])
+                    held += hi - lo
+                    if held >= BATCH_CHARS:
+                        yield packed(ids, rows)
+                        rows, held = [[] for _ in range(6)], 0
+            yield packed(ids, rows)
 
     out = df.select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInArrow(cut, f"d {kind}, chunk int, start int, end int, n_tokens int, chunk_text string")
     return out.withColumnRenamed("d", doc)

@@ -115,3 +115,33 @@ def test_variants_of_documents_do_not_move(spark, tmp_path):
     windows = [x for x in plan(full).split("\n") if "windowspecdefinition(doc_id" in x]
     assert windows and not any("variant" in x for x in windows)  # all variants were dealt by document again
     assert {r.spec for r in full.collect()} == {"frequency", "presence", "paper", "year_paper", "pairs", "keywords", "no_labels", "clear"}
+
+
+def test_chunks_go_on_as_they_are_cut(spark):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from biblioflux.operators import chunks
+
+    kept = SimpleNamespace(schema={"d": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))}, withColumnRenamed=lambda *_: None)
+    kept.select = lambda *_: kept
+    kept.mapInArrow = lambda f, _: setattr(kept, "f", f) or kept
+    chunks.chunk_texts(kept, "d", "t", 50)
+    texts = ["word " * 40_000, None, "", *["more words " * 20_000] * 20]
+    out = list(kept.f(iter([pa.RecordBatch.from_pydict({"d": list(range(23)), "t": texts})])))
+    assert max(sum(map(len, b.column(5).to_pylist())) for b in out) < 2 << 20  # all chunks of all texts were held at once
+    ids, chunk = ([x for b in out for x in b.column(i).to_pylist()] for i in (0, 1))
+    assert len(ids) == 800 + 2 + 20 * 800 and list(zip(ids, chunk)) == sorted(zip(ids, chunk))
+
+
+def test_pooled_vectors_meet_whole(spark):
+    from biblioflux.operators.classify import pool_chunks
+
+    nan = float("nan")
+    rows = [(1, [3.0, 0.0]), (1, [1.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [2.0]), (5, [1.0, -1.0]), (6, [nan, 1.0]), (6, [1.0, 1.0])]
+    out = pool_chunks(spark.createDataFrame(rows, "d long, v array<float>"), "d", "v")
+    got = {r.d: r.vector for r in out.collect()}
+    assert got[1] == [0.6, 0.8] and got[2] == [0.0, 0.0] and set(got) == {1, 2, 5, 6}
+    assert abs(got[5][0] ** 2 + got[5][1] ** 2 - 1) < 1e-12 and got[5][1] < 0
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()  # a row for each place of each vector
