@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from ..functions.text import let
 from ..scratch import forget, written
 
 
@@ -135,8 +136,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at unit length; a zero vector stays."""
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
 
 
 def embedding_scores(docs: DataFrame, doc: str, vector: str, prototypes: DataFrame) -> DataFrame:
@@ -157,7 +157,8 @@ def mean_vectors(df: DataFrame, by: str, vector: str) -> DataFrame:
 
 
 def pool_chunks(chunks: DataFrame, doc: str, vector: str) -> DataFrame:
-    """(doc, vector): the largest value of each place over a document's chunks, at unit length."""
-    cells = chunks.select(doc, F.posexplode(vector).alias("pos", "x")).groupBy(doc, "pos").agg(F.max(F.col("x").cast("double")).alias("x"))
-    pooled = cells.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
-    return pooled.select(doc, unit(F.col("v")).alias("vector"))
+    """(doc, vector): the largest value of each place over a document's chunks, at unit length. A document's vectors meet as
+    they are: a row for each place would take many times their memory."""
+    larger = lambda a, v: F.zip_with(a, v, lambda x, y: F.greatest(x, y.cast("double")))
+    pooled = chunks.where(F.size(vector) > 0).groupBy(doc).agg(F.collect_list(vector).alias("all"))
+    return pooled.select(doc, let(F.aggregate("all", F.array().cast("array<double>"), larger), unit).alias("vector"))
