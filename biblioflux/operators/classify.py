@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from ..functions.text import let
+
+from ..functions.text import let, ngrams
 from ..scratch import forget, written
+from . import grams
 
 
 @dataclass(frozen=True)
@@ -20,36 +24,37 @@ class Thresholds:
     medium_margin: float = 0.003
 
 
-def top_vocabulary(docs: DataFrame, tokens: Column, k: int, cells: int = 1 << 20) -> DataFrame:
-    """(term, cf): the k most frequent terms of all documents, ties by term; exact.
+def top_vocabulary(docs: DataFrame, tokens: Column, k: int, cells: int = 1 << 22, sizes: Sequence[int] = (1,)) -> DataFrame:
+    """(term, cf, cell): the k most frequent n-grams of all documents for the n of sizes together, ties by term; exact.
 
-    Occurrences are counted first by a hash of the term, in at most `cells` cells, which bound every term in them from
-    above. Only terms in cells that reach a bound are then counted themselves. If the k-th of those reaches the bound too,
-    no other term can; if not, it is the next bound, and that one suffices.
+    Occurrences are counted first by a hash of the n-gram, in at most `cells` cells, which bound every n-gram in them from
+    above. Only n-grams in cells that reach a bound are then counted themselves. If the k-th of those reaches the bound
+    too, no other can; if not, it is the next bound, and that one suffices.
     """
-    rows = docs.select(F.explode(tokens).alias("term"))
-    cell = F.pmod(F.xxhash64("term"), F.lit(cells)).cast("int").alias("cell")
-    sketch = written(rows.select(cell).groupBy("cell").agg(F.count("*").alias("n")), "sketch")
-    bound = sketch.orderBy(F.desc("n")).limit(2 * k).agg(F.min("n")).first()[0] or 1
+    n = grams.sketch(docs, tokens, sizes, cells)
+    held = n[n > 0]
+    bound = int(np.partition(held, -2 * k)[-2 * k]) if len(held) > 2 * k else 1
     while True:
-        heavy = sketch.where(F.col("n") >= bound).select("cell")
-        kept = rows.select("term", cell).join(F.broadcast(heavy), "cell")  # `cells` integers at most
-        found = written(kept.groupBy("term").agg(F.count("*").alias("cf")).orderBy(F.desc("cf"), "term").limit(k), "vocabulary")
-        n, least = found.agg(F.count("*"), F.min("cf")).first()
-        if bound <= 1 or (n == k and least >= bound):
-            forget(sketch)
+        counted = grams.counts_in_cells(docs, tokens, sizes, n >= max(bound, 1))
+        found = written(counted.orderBy(F.desc("cf"), "term").limit(k), "vocabulary")
+        size, least = found.agg(F.count("*"), F.min("cf")).first()
+        if bound <= 1 or (size == k and least >= bound):
             return found
         forget(found)
-        bound = least if n == k else 1
+        bound = least if size == k else 1
 
 
-def vocabulary_counts(docs: DataFrame, doc: str, tokens: Column, max_features: int, counts: DataFrame | None = None) -> DataFrame:
-    """(doc, term, tf) of the max_features most frequent terms only, written: other terms never move. counts (term, freq) of
-    all terms are taken if given."""
-    top = top_vocabulary(docs, tokens, max_features) if counts is None else written(counts.orderBy(F.desc("freq"), "term").limit(max_features), "vocabulary")
+def vocabulary_counts(docs: DataFrame, doc: str, tokens: Column, max_features: int, counts: DataFrame | None = None, sizes: Sequence[int] = (1,)) -> DataFrame:
+    """(doc, term, tf) of the max_features most frequent n-grams of the tokens only, written: other terms never move. counts
+    (term, freq) of all tokens are taken if given."""
+    if counts is None and max_features <= 100_000:  # a task holds so many terms at most
+        cells = 1 << 22
+        return written(grams.vocabulary_frequencies(docs, doc, tokens, sizes, top_vocabulary(docs, tokens, max_features, cells, sizes), cells), "tf")
+    top = top_vocabulary(docs, tokens, max_features, sizes=sizes) if counts is None else written(counts.orderBy(F.desc("freq"), "term").limit(max_features), "vocabulary")
     terms = top.select("term")
-    terms = F.broadcast(terms) if max_features <= 100_000 else terms  # so many rows at most
-    return written(docs.select(doc, F.explode(tokens).alias("term")).join(terms, "term").groupBy(doc, "term").agg(F.count("*").alias("tf")), "tf")
+    terms = F.broadcast(terms) if max_features <= 100_000 else terms
+    each = F.concat(*[tokens if n == 1 else ngrams(tokens, n) for n in sizes])
+    return written(docs.select(doc, F.explode(each).alias("term")).join(terms, "term").groupBy(doc, "term").agg(F.count("*").alias("tf")), "tf")
 
 
 def inverse_frequency(tf: DataFrame, n_docs: int) -> DataFrame:
@@ -82,13 +87,13 @@ def prototype_scores(tf: DataFrame, doc: str, idf: DataFrame, docs: DataFrame, f
     The few vectors of prototypes (term, idx, v) meet the terms as one row for each term, so a document's length and its
     product with every field are sums over one pass; no document's vector is put together.
     """
-    own = [r["idx"] for r in fields.select("idx").distinct().collect()]  # a handful of labels
+    labels = fields.select("idx", "field").collect()  # a handful of labels
+    own = sorted({r["idx"] for r in labels})
     v = prototypes.groupBy("term").agg(*[F.sum(F.when(F.col("idx") == i, F.col("v"))).alias(f"v{i}") for i in own])
     rows = tf.join(idf, "term").withColumn("w", (1 + F.ln("tf")) * F.col("idf")).join(v, "term", "left")
     sums = rows.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.sum(F.col("w") * F.col(f"v{i}")).alias(f"v{i}") for i in own])
-    dots = sums.select(doc, F.explode(F.array(*[F.struct(F.lit(i).alias("idx"), (F.col(f"v{i}") / F.col("norm")).alias("score")) for i in own])).alias("x")).select(doc, "x.*")
-    grid = docs.select(doc).crossJoin(F.broadcast(fields.select("idx", "field")))
-    return grid.join(dots, [doc, "idx"], "left").select(doc, "idx", "field", F.coalesce("score", F.lit(0.0)).alias("score"))
+    each = [F.struct(F.lit(r["idx"]).alias("idx"), F.lit(r["field"]).alias("field"), F.coalesce(F.col(f"v{r['idx']}") / F.col("norm"), F.lit(0.0)).alias("score")) for r in labels]
+    return docs.select(doc).join(sums, doc, "left").select(doc, F.inline(F.array(*each)))
 
 
 def best_field(scores: DataFrame, doc: str, digits: int = 9) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +21,10 @@ class Frozen:
     fields: DataFrame
 
 
-def freeze(docs: DataFrame, doc: str, tokens: Column, seeds: DataFrame, max_features: int = 30_000) -> Frozen:
-    """The model of documents that hold the seed texts too; seeds has (doc, idx, field). All of it is written."""
-    tf = cl.vocabulary_counts(docs, doc, tokens, max_features)
+def freeze(docs: DataFrame, doc: str, tokens: Column, seeds: DataFrame, max_features: int = 30_000, sizes: Sequence[int] = (1,)) -> Frozen:
+    """The model of documents that hold the seed texts too; seeds has (doc, idx, field). Terms are the
+    n-grams of the tokens for the n of sizes. All of it is written."""
+    tf = cl.vocabulary_counts(docs, doc, tokens, max_features, sizes=sizes)
     idf = written(cl.inverse_frequency(tf, docs.count()), "idf")
     prototypes = written(cl.prototype_vectors(tf, doc, idf, seeds.select(doc, "idx")), "prototypes")
     return Frozen(idf, prototypes, seeds.select("idx", "field"))

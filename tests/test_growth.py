@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import time
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 
@@ -145,3 +148,30 @@ def test_pooled_vectors_meet_whole(spark):
     assert got[1] == [0.6, 0.8] and got[2] == [0.0, 0.0] and set(got) == {1, 2, 5, 6}
     assert abs(got[5][0] ** 2 + got[5][1] ** 2 - 1) < 1e-12 and got[5][1] < 0
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()  # a row for each place of each vector
+
+
+def test_word_grams_of_a_vocabulary_are_counted_as_numbers(spark, monkeypatch):
+    from biblioflux.operators import grams
+    from biblioflux.operators.classify import top_vocabulary, vocabulary_counts
+
+    rng = random.Random(5)
+    docs = [(i, [f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(rng.choice([0, 1, 2, 3, 200]))]) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(docs, "d long, k array<string>").repartition(3)
+    of = {d: Counter(" ".join(k[i : i + n]) for n in (1, 2, 3) for i in range(len(k or []) - n + 1)) for d, k in docs}
+    count = sum(of.values(), Counter())
+    want = sorted(count.items(), key=lambda x: (-x[1], x[0]))[:300]
+    for cells in (5, 1 << 12):
+        got = top_vocabulary(df, F.col("k"), 300, cells, [1, 2, 3]).orderBy(F.desc("cf"), "term").collect()
+        assert [(r.term, r.cf) for r in got] == want
+    tf = {(r.d, r.term): r.tf for r in vocabulary_counts(df, "d", F.col("k"), 300, sizes=[1, 2, 3]).collect()}
+    kept = {w for w, _ in want}
+    assert tf == {(d, w): n for d, c in of.items() for w, n in c.items() if w in kept}
+    # cuts between places lose and invent nothing
+    batch = pa.array([k for _, k in docs], pa.list_(pa.string()))
+    monkeypatch.setattr(grams, "PLACES", 7)
+    seen = Counter()
+    for s in grams.stretches(batch, 3):
+        for n in (1, 2, 3):
+            at = s.starts(n)
+            seen.update(zip(s.row[at].tolist(), s.terms(s.keys(at, n), n).to_pylist(), strict=True))
+    assert seen == Counter({(d, w): n for d, c in of.items() for w, n in c.items()})
