@@ -42,6 +42,10 @@ class Stretch:
             key = (key << self.bits) | self.codes[at + i]
         return key
 
+    def ends(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The first and last word of each n-gram, as a number of two words."""
+        return (self.codes[at] << self.bits) | self.codes[at + n - 1]
+
     def terms(self, keys: np.ndarray, n: int) -> pa.Array:
         mask = (1 << self.bits) - 1
         parts = [self.words.take(pa.array((keys >> self.bits * (n - 1 - i)) & mask)) for i in range(n)]
@@ -73,17 +77,23 @@ def stretches(tokens: pa.ListArray, longest: int) -> Iterator[Stretch]:
         yield Stretch(row, end[row] - np.arange(lo, hi), part.indices.to_numpy().astype(np.int64), part.dictionary.cast(pa.string()))
 
 
-def gram_counts(df: DataFrame, tokens: Column, sizes: Sequence[int]) -> DataFrame:
-    """(n, term, freq) of n-grams of neighbouring tokens, which are not null and hold no space, for each n of sizes."""
+def gram_rows(df: DataFrame, tokens: Column, sizes: Sequence[int], gapped: bool = False) -> DataFrame:
+    """(n, term, freq) as gram_counts(), a row for each stretch that has the n-gram: freq is yet to be summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in stretches(batch.column(0), max(sizes)):
                 for n in sizes:
-                    key, freq = np.unique(s.keys(s.starts(n), n), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), s.terms(key, n), pa.array(freq, pa.int64())], names=["n", "term", "freq"])
+                    key, freq = np.unique(s.ends(s.starts(n), n) if gapped else s.keys(s.starts(n), n), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), s.terms(key, 2 if gapped else n), pa.array(freq, pa.int64())], names=["n", "term", "freq"])
+
+    return df.select(tokens.alias("k")).mapInArrow(count, "n int, term string, freq long")
+
 
-    return df.select(tokens.alias("k")).mapInArrow(count, "n int, term string, freq long").groupBy("n", "term").agg(F.sum("freq").alias("freq"))
+def gram_counts(df: DataFrame, tokens: Column, sizes: Sequence[int], gapped: bool = False) -> DataFrame:
+    """(n, term, freq) of n-grams of neighbouring tokens, which are not null and hold no space, for each n of sizes; if gapped,
+    of their first and last words only."""
+    return gram_rows(df, tokens, sizes, gapped).groupBy("n", "term").agg(F.sum("freq").alias("freq"))
 
 
 def sketch(df: DataFrame, tokens: Column, sizes: Sequence[int], cells: int) -> np.ndarray:

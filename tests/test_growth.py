@@ -175,3 +175,36 @@ def test_word_grams_of_a_vocabulary_are_counted_as_numbers(spark, monkeypatch):
             at = s.starts(n)
             seen.update(zip(s.row[at].tolist(), s.terms(s.keys(at, n), n).to_pylist(), strict=True))
     assert seen == Counter({(d, w): n for d, c in of.items() for w, n in c.items()})
+
+
+def test_word_gram_counts_hold_few_rows_a_stretch(spark):
+    from biblioflux.functions import text as tx
+    from biblioflux.operators import grams
+
+    rng = random.Random(6)
+    docs = [(i, [rng.choice("abcdefg") for _ in range(i % 9)]) for i in range(200)]
+    df = spark.createDataFrame(docs, "d long, k array<string>").coalesce(1)
+    want = Counter((n, " ".join(k[i : i + n])) for _, k in docs for n in (1, 3) for i in range(len(k) - n + 1))
+    assert {(r.n, r.term): r.freq for r in grams.gram_counts(df, F.col("k"), [3, 1]).collect()} == want
+    assert grams.gram_rows(df, F.col("k"), [3, 1]).count() == len(want)  # not a row for each place
+    gapped = Counter(f"{k[i]} {k[i + 2]}" for _, k in docs for i in range(len(k) - 2))
+    assert {r.term: r.freq for r in grams.gram_counts(df, F.col("k"), [3], gapped=True).collect()} == gapped
+    odd = ["the cat_x a-b " + "z" * 41 + " éab ab9 Zoo", "z" * 40 + "|b|of 9ab ab", ""]
+    got = spark.createDataFrame([(x,) for x in odd], "t string").select(tx.without(tx.english_tokens(F.col("t")), ["the", "of"]).alias("k"))
+    assert [r.k for r in got.collect()] == [["zoo"], ["z" * 40, "ab"], []]
+
+
+def test_mined_phrases_are_made_once(spark):
+    from biblioflux.operators.phrases import many_phrase_counts
+
+    made = spark.sparkContext.accumulator(0)
+
+    def mine(rows):
+        for r in rows:
+            made.add(1)
+            yield r
+
+    phrases = spark.createDataFrame(spark.createDataFrame([("ab c",), ("c d",)], "term string").coalesce(1).rdd.mapPartitions(mine), "term string")
+    df = spark.createDataFrame([("ab c d ab c",)], "t string")
+    got = {r.term: r.freq for r in many_phrase_counts(df, [(F.col("t"), 1)], phrases, max_chars=4).collect()}
+    assert got == {"ab c": 2, "c d": 1} and made.value == 2
