@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import re
 import tempfile
 import uuid
@@ -170,7 +171,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60,
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | None = None, refine=None, small: int = 8, leader_rounds: int = 2, samples: int = 0) -> DataFrame:
+def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | None = None, refine=None, small: int = 8, leader_rounds: int = 2, samples: int = 0, skip_tried: bool = False) -> DataFrame:
     """Components (node, component) of the links among members of buckets.
 
     members has key, id, n (a size that `near` compares) and size (members of the bucket); verify takes pairs (a, b) and
@@ -184,7 +185,7 @@ def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | Non
 
     Nothing is left out then: all pairs of members of one bucket and of different components are verified that are not
     ruled out by `near` or, if given, by refine. It takes the open members (key, id, n, c: the component so far, meets)
-    and returns pairs (a, b), with all links among those.
+    and returns pairs (a, b), with all links among those. With skip_tried, no pair is verified in two rounds.
     """
     other = members.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), "size").where(F.col("size") <= small).drop("size")
     few = members.where(F.col("size") <= small).join(other, "key").where(F.col("id") < F.col("id2")).where(near(F.col("n"), F.col("m")))
@@ -194,7 +195,8 @@ def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | Non
     many = materialize(large.join(meets, "id").select("key", "id", "n", "meets"), "many")
     pairs = materialize(pairs.unionByName(_with_leader(many, _leader(many, "meets"), near)).distinct(), "pairs")
     edges = materialize(verify(pairs), "edges")
-    release(pairs)
+    tried = [pairs] if skip_tried else []
+    release(*[] if skip_tried else [pairs])
     if first_edges is not None:
         edges = edges.unionByName(first_edges)
     found = connected_components(edges, "a", "b")
@@ -218,12 +220,17 @@ def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | Non
             other = placed.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("c").alias("c2"))
             close = placed.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2"))).where(near(F.col("n"), F.col("m")))
             pairs = close.select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        pairs = materialize(pairs.distinct(), "pairs")
+        pairs = pairs.distinct()
+        if tried:
+            pairs = pairs.join(functools.reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
         more = materialize(verify(pairs), "edges")
-        release(pairs, placed)
+        tried += [pairs] if skip_tried else []
+        release(placed, *[] if skip_tried else [pairs])
         if not more.isEmpty():
             edges = edges.unionByName(more)
             found = connected_components(edges, "a", "b")
+    release(*tried)
     return found
 
 

@@ -182,23 +182,26 @@ def _open_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row, line) of all lines but the first occurrence of each group."""
-    lines = with_keys(_lines(docs, doc_id, text)).select("doc_id", "row", "line", "h", F.array_distinct("keys").alias("keys"), F.length("norm").alias("n"), "norm")
+    lines = _lines(docs, doc_id, text).withColumn("n", F.length("norm"))
     lines = materialize(lines, "lines", codec="zstd")  # with their text, so that it is normalised once
-    once = lines.where(F.col("n") >= MIN_CHARS).select(F.col("h").alias("id"), "n", "keys").distinct()
-    once = materialize(once, "once")  # with a shuffle before its own, that of the keys would not be read twice
+    once = with_keys(lines.where(F.col("n") >= MIN_CHARS).select("h", "n", "norm").distinct())  # equal lines have equal keys
+    once = once.select(F.col("h").alias("id"), "n", "norm", F.array_distinct("keys").alias("keys"))
+    once = materialize(once, "once", codec="zstd")  # with a shuffle before its own, that of the keys would not be read twice
+    texts, lines = lines, materialize(lines.select("doc_id", "row", "line", "h"), "places")
+    release(texts)
     members = materialize(_sized(once.select("id", "n", F.explode("keys").alias("key"))), "members")
-    release(once)
-    ids = materialize(members.select(F.col("id").alias("h")).distinct(), "ids")
+    ids = materialize(members.select("id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
-    texts = lines.select("h", "norm").join(F.broadcast(ids) if few else ids, "h", "left_semi").distinct()
+    texts = once.join(F.broadcast(ids) if few else ids, "id", "left_semi").select(F.col("id").alias("h"), "norm")
     texts = materialize(texts.withColumn("coded", _coded("norm")), "texts")
+    release(once)
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda k: texts.select(F.col("h").alias(k), F.col("norm").alias(f"t{k}"), F.col("coded").alias(f"w{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.where(_similar("ta", "tb", "wa", "wb")).select("a", "b")
 
-    groups = linked_groups(members, verify, _near, refine=lambda placed: _open_pairs(placed, texts), small=3, leader_rounds=1, samples=SAMPLES)
+    groups = linked_groups(members, verify, _near, refine=lambda placed: _open_pairs(placed, texts), small=3, leader_rounds=1, samples=SAMPLES, skip_tried=True)
     kinds = lines.groupBy("h").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "row", "line")).alias("first"))
     kinds = kinds.join(groups.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("g", F.coalesce("component", "h"))
     kinds = materialize(kinds.select("h", "g", "count", "first"), "kinds")

@@ -577,6 +577,30 @@ def test_fuzzy_lines_are_normalised_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_fuzzy_lines_make_keys_and_verify_pairs_once(spark, monkeypatch):
+    """Equal lines get their keys once, and no pair of one bucket that an early round has parted is verified in a later one."""
+    from biblioflux.llm import line_dedup
+
+    rng = random.Random(24)
+    base = prose(rng, 40).split()
+    rows = [(i, " ".join(prose(rng, 1) if k in at else w for k, w in enumerate(base)), None, None) for i in range(40) for at in [rng.sample(range(40), 8)]]
+    rows += [(100 + i, t, None, None) for i, t, *_ in rows]
+    keys, groups, made, pairs = line_dedup.with_keys, line_dedup.linked_groups, [], []
+
+    def one_bucket(lines, *a):
+        made.append(lines.count())
+        return keys(lines, *a).withColumn("keys", F.array(F.lit(0).cast("long")))
+
+    def watched(members, verify, *a, **k):
+        return groups(members, lambda p: pairs.extend((r["a"], r["b"]) for r in p.collect()) or verify(p), *a, **k)
+
+    monkeypatch.setattr(line_dedup, "with_keys", one_bucket)
+    monkeypatch.setattr(line_dedup, "linked_groups", watched)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: int(i >= 100) for i, *_ in rows}
+    assert made == [40] and len(pairs) > 100 and len(pairs) == len(set(pairs)), (made, len(pairs), len(set(pairs)))
+
+
 def test_decontamination(spark, empty):
     from biblioflux.llm import decontaminate as D
 
