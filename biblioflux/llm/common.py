@@ -220,10 +220,10 @@ def linked_groups(members: DataFrame, verify, near, first_edges: DataFrame | Non
             other = placed.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("c").alias("c2"))
             close = placed.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2"))).where(near(F.col("n"), F.col("m")))
             pairs = close.select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        pairs = pairs.distinct()
-        if tried:
-            pairs = pairs.join(functools.reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(pairs.distinct(), "pairs")
+        if tried:  # after the distinct: Spark would put the join before it
+            met, pairs = pairs, materialize(pairs.join(functools.reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "pairs")
+            release(met)
         more = materialize(verify(pairs), "edges")
         tried += [pairs] if skip_tried else []
         release(placed, *[] if skip_tried else [pairs])
