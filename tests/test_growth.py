@@ -208,3 +208,35 @@ def test_mined_phrases_are_made_once(spark):
     df = spark.createDataFrame([("ab c d ab c",)], "t string")
     got = {r.term: r.freq for r in many_phrase_counts(df, [(F.col("t"), 1)], phrases, max_chars=4).collect()}
     assert got == {"ab c": 2, "c d": 1} and made.value == 2
+
+
+def test_documents_as_vectors_of_character_grams(spark, monkeypatch):
+    import numpy as np
+
+    from biblioflux.operators import chargrams
+
+    rng = random.Random(7)
+    docs = [(i % 50, "".join(rng.choice("abC éß語😀\n\0") for _ in range(rng.choice([0, 1, 3, 60])))) for i in range(60)] + [(50, None)]
+    grams = Counter(x.lower()[i : i + n] for _, x in docs if x for n in (2, 3, 4) for i in range(len(x) - n + 1))
+    names = [g for g, _ in grams.most_common(90)]
+    want = Counter((d, x.lower()[i : i + n]) for d, x in docs if x for n in (2, 3, 4) for i in range(len(x) - n + 1) if x.lower()[i : i + n] in names)
+    df = spark.createDataFrame(docs, "d long, t string").repartition(3)
+    packed = chargrams.vectors(df, "d", F.lower("t"), names)
+    rows = packed.collect()
+    got = {(r.d, names[a]): n for r in rows for a, n in zip(np.frombuffer(r["at"], np.int32).tolist(), np.frombuffer(r.tf, np.int64).tolist(), strict=True)}
+    assert got == want and len({r.d for r in rows}) == len(rows)  # a row for each n-gram of a document moved
+    of = Counter(g for _, g in want)
+    assert chargrams.document_frequencies(packed, len(names)).tolist() == [of[g] for g in names]
+    # cuts of long texts, and a tree that is no plain table
+    whole = chargrams._counted([(0, docs[3][1] * 5), (2, "ab")], chargrams.GramTree(names), len(names))
+    monkeypatch.setattr(chargrams, "PLACES", 7)
+    monkeypatch.setattr(chargrams, "TABLE", 0)
+    parts = chargrams._counted([(0, docs[3][1] * 5), (2, "ab")], chargrams.GramTree(names), len(names))
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_classify_charngram_moves_no_row_for_each_gram(spark):
+    from biblioflux.plans.queries import QUERIES
+
+    plan = QUERIES["classify_charngram"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "term" not in plan
