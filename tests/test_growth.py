@@ -240,3 +240,24 @@ def test_classify_charngram_moves_no_row_for_each_gram(spark):
 
     plan = QUERIES["classify_charngram"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "term" not in plan
+
+
+def test_pair_draws_hold_few_copies_of_packed_terms(spark, monkeypatch):
+    from biblioflux.operators import resample
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "de").otherwise("es").alias("lang"))
+    dtm = spark.range(300 * 40).select((F.col("id") % 300).alias("doc_id"), F.concat(F.lit("t"), F.floor(F.col("id") / 7).cast("string")).alias("term"), F.lit(2).alias("tf"))
+    made = {}
+
+    def written(df, tag="t", own=resample.written):
+        out = own(df, tag)
+        made.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(resample, "written", written)
+    monkeypatch.setattr(resample, "LABEL_BYTES", 1 << 9)
+    monkeypatch.setattr(resample, "SLICE_ROWS", 1 << 10)
+    got = resample.pair_draws(dtm, docs, "doc_id", "lang", [("de", "es")], ["hhi"], 60, 3, block=10)
+    assert got.count() == 60
+    assert len(made["draws"]) > 1  # one job held a copy of the terms for every group
+    assert made["postings"][0] <= 1 + resample.TERM_PARTS * 2  # a row for each term and block
