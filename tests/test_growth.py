@@ -261,3 +261,18 @@ def test_pair_draws_hold_few_copies_of_packed_terms(spark, monkeypatch):
     assert got.count() == 60
     assert len(made["draws"]) > 1  # one job held a copy of the terms for every group
     assert made["postings"][0] <= 1 + resample.TERM_PARTS * 2  # a row for each term and block
+
+
+def test_permutation_scans_take_all_replicates(spark, monkeypatch):
+    import inspect
+
+    from biblioflux.operators import resample
+    from biblioflux.plans.oracle import ORACLE
+    from biblioflux.plans.queries import QUERIES
+
+    query = inspect.unwrap(QUERIES["permutation_scans"])
+    assert inspect.signature(query).parameters["reps"].default == 10_000 and "range(10000)" in ORACLE["permutation_scans"]  # 10 were drawn
+    df = spark.createDataFrame([(i * 3 % 101, 2000 + i % 4, "abc"[i % 3]) for i in range(100)], "id long, year int, field string")
+    want = sorted(resample.permuted_panels(df, resample.replicates(spark, 7), 9, "id", "year", "field").collect())
+    monkeypatch.setattr(resample, "JOB_ROWS", 250)
+    assert sorted(resample.many_permuted_panels(df, 7, 9, "id", "year", "field").collect()) == want
