@@ -6,6 +6,7 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -276,3 +277,27 @@ def test_permutation_scans_take_all_replicates(spark, monkeypatch):
     want = sorted(resample.permuted_panels(df, resample.replicates(spark, 7), 9, "id", "year", "field").collect())
     monkeypatch.setattr(resample, "JOB_ROWS", 250)
     assert sorted(resample.many_permuted_panels(df, 7, 9, "id", "year", "field").collect()) == want
+
+
+def test_large_dictionaries_are_arrays(spark, monkeypatch):
+    import inspect
+
+    from biblioflux.functions import segment
+    from biblioflux.plans.queries import QUERIES
+
+    rng = random.Random(11)
+    for k in range(40):
+        words = {"".join(rng.choice("abc語") for _ in range(rng.randint(0, 5))): rng.randint(1, 4) for _ in range(rng.choice([0, 1, 5, 60]))}
+        texts = ["".join(rng.choice("abcdé語😀 -") for _ in range(rng.randint(0, 60))) for _ in range(rng.choice([1, 3, 200]))] + [None]
+        plain, large = segment.WordGraph(words), segment.LargeWordGraph(pa.array(list(words), pa.string()), np.array(list(words.values()), np.int64))
+        assert large.cut_all(texts) == plain.cut_all(texts), k
+        assert [large.path(x) for x in texts if x] == [plain.path(x) for x in texts if x], k
+        with monkeypatch.context() as m:
+            m.setattr(segment, "_CELLS", 40)
+            assert large.cut_all(texts) == plain.cut_all(texts), k
+    rows = [("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))), rng.randint(1, 9)) for _ in range(500)]
+    lexicon, df = spark.createDataFrame(rows, "word string, freq long"), spark.createDataFrame([("abcdefghxabcd" * 5,), (None,)], "t string")
+    plain = df.select(segment.word_segmenter(lexicon)("t")).collect()
+    monkeypatch.setattr(segment, "LARGE", 10)
+    assert df.select(segment.word_segmenter(lexicon, max_words=None)("t")).collect() == plain
+    assert "max_words=None" in inspect.getsource(inspect.unwrap(QUERIES["recut_counts"]))  # more than a million mined words raised
