@@ -301,3 +301,22 @@ def test_large_dictionaries_are_arrays(spark, monkeypatch):
     monkeypatch.setattr(segment, "LARGE", 10)
     assert df.select(segment.word_segmenter(lexicon, max_words=None)("t")).collect() == plain
     assert "max_words=None" in inspect.getsource(inspect.unwrap(QUERIES["recut_counts"]))  # more than a million mined words raised
+
+
+def test_terms_of_documents_lie_compressed(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from biblioflux.plans import queries
+
+    rows = [(i, f"Title one\nthe data of model {i % 2}", "en" if i % 2 else "de", "s", 30) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    files = {}
+
+    def written(df, tag="t", *codec, own=queries.written):
+        out = own(df, tag, *codec)
+        files[tag] = [f.name for f in Path(out._scratch.removeprefix("file:")).glob("*.parquet")]
+        return out
+
+    monkeypatch.setattr(queries, "written", written)
+    queries.QUERIES["spec_table_full"](spark, str(tmp_path))
+    assert all(files[t] and all(".zstd." in f for f in files[t]) for t in ("dtm", "cells"))  # Spark's own codec took more disk
